@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, near_dedup, url_filter
+from textloom.llm import bpe, exact_dedup, mtree, near_dedup, packing, url_filter
 from textloom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +20,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op5_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mtree.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -28,6 +33,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), tokens=4096)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), percent=85)
 
@@ -37,13 +46,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_mtree_topk": op5_mtree_topk,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_url_filter": op7_url_filter,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_mtree_topk": """
+        WITH v AS (
+          SELECT CAST(vec_id AS BIGINT) AS id,
+                 list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT q.id AS query_id, c.id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.id % 100 = 0 AND q.id <> c.id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 10""",
     "op6_exact_dedup": """
         WITH d AS (
           SELECT CAST(doc_id AS BIGINT) AS doc_id,
