@@ -8,6 +8,7 @@ broadcast; its size is that of the tokenizer, whatever the corpus.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import map_batches
 
-WORD_CACHE = 300_000
+WORD_CACHE = 600_000
 MAX_FILE_MB = 64
 
 
@@ -46,7 +47,7 @@ def byte_symbols() -> list[str]:
 
 
 class Encoder:
-    """words remembers white-space-free pieces of text as packed ids, tokens the pre-tokens."""
+    """words remembers white-space-free pieces of text as packed ids, tokens the other pre-tokens."""
 
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -94,6 +95,9 @@ class Encoder:
 
     def chunk(self, piece: str) -> bytes:
         """Packed ids of a piece without white space."""
+        if piece.isascii() and piece.isalpha():  # one pre-token, as NFC leaves ASCII alone
+            low = piece.lower()
+            return self.merge(piece) if low == piece else self.words[low]
         out = []
         for part in self.cut.split(piece) if self.cut and "<" in piece else (piece,):
             if part in self.special:
@@ -102,7 +106,8 @@ class Encoder:
                 # NFC, then lower case code point by code point
                 part = unicodedata.normalize("NFC", part)
                 low = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
-                out.extend(map(self.tokens.__getitem__, self.split.findall(low)))
+                tokens = (low,) if low.isalpha() else self.split.findall(low)
+                out += [(self.words if t.isascii() and t.isalpha() else self.tokens)[t] for t in tokens]
         return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
@@ -141,6 +146,7 @@ def shared_encoder(key: str, spec: dict) -> Encoder:
     if key not in _SHARED:
         _SHARED.clear()
         _SHARED[key] = Encoder(spec)
+        gc.freeze()  # the tables stay; collections need not walk them
     return _SHARED[key]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, mtree, near_dedup, packing, url_filter
+from textloom.llm import bpe, exact_dedup, langid, mtree, near_dedup, packing, pii, quality, toxicity, url_filter
 from textloom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +20,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(docs, pii.learn(docs))
+
+
+def op3_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+def op4_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return mtree.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
@@ -46,6 +66,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_importance_resampling": op1_importance_resampling,
+    "op2_bootstrapped_pii": op2_bootstrapped_pii,
+    "op3_crf_langid": op3_crf_langid,
+    "op4_classifier_chain": op4_classifier_chain,
     "op5_mtree_topk": op5_mtree_topk,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_url_filter": op7_url_filter,
