@@ -22,7 +22,7 @@ from textloom.llm import minhash as M
 from textloom.llm.common import fresh, map_batches, materialise
 from textloom.llm.components import components
 
-BLOCK = 128  # members of a bucket that one task compares with as many
+BLOCK = 256  # members of a bucket that one task compares with as many
 FAN = 1024  # links of one center that one row of it serves
 COLUMNS = 4096  # distinct shingles compared at once
 
@@ -182,7 +182,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = materialise(components(links), "labels")
 
     named = members.join(labels, "id", "left").select("h", "id", "size", F.coalesce("label", "id").alias("label"))
-    split = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+    prints_of = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    split = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), *prints_of).where("lo <> hi")
+    split = split.groupBy("n", "x0", "x1").agg(F.min("h").alias("h")).select("h")  # buckets of the same members: one of them
     rest = materialise(named.join(split, "h", "left_semi"), "open")
     if not rest.isEmpty():
         sized = rest.join(reps.select("id", "n"), "id").join(_narrow(sets.join(rest.select("id").distinct(), "id", "left_semi")), "id")
