@@ -163,3 +163,27 @@ def test_windowed_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.table("counts").collect()) == [10, 10, 10]
+
+
+def test_density_topics():
+    import numpy as np
+
+    from textloom.operators.evaluation import density_topics
+
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.normal(c, 0.2, size=(40, 2)) for c in ((0, 0), (5, 5), (0, 6))] + [rng.uniform(-20, 20, size=(6, 2))])
+    got = density_topics(x)
+    for k in range(3):
+        part = got[40 * k : 40 * k + 40]
+        assert (part == np.bincount(part[part >= 0]).argmax()).mean() > 0.9
+    assert len(set(got[:120].tolist()) - {-1}) == 3
+    assert (density_topics(x[:6]) == -1).all()
+
+
+def test_learned_reranker(spark):
+    from textloom.operators import evaluation as ev
+
+    events = spark.createDataFrame([("rate", k / 40, "lexical" if k % 2 else "dense", "q" * (k % 5)) for k in range(41)], "signal string, value double, source string, query string")
+    model, auc = ev.train_reranker(ev.rerank_examples(events))
+    hits = spark.createDataFrame([(1, 7, 0.2, 0.0, 3.0), (1, 8, 0.9, 0.0, 3.0), (1, 9, 0.5, 1.0, 3.0)], "query_id int, id int, score double, is_lexical double, query_len double")
+    assert auc > 0.95 and [r.id for r in ev.apply_reranker(model, hits, 2).orderBy("rank").collect()] == [8, 9]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "relational", "retrieval"]
+MODULES = ["corpus", "relational", "retrieval", "evaluation"]
 
 
 def _load() -> None:
