@@ -23,7 +23,8 @@ WINDOWS, WIDTH = 12, 24  # windows of a text, words of a window
 MAX_LANGS = 64
 SPACE = 1 << 16
 LEXICON = 2_000
-WORD_CACHE = 300_000
+WORD_CACHE = 600_000
+RESCALE = 8  # words between divisions that keep messages in range
 CELLS = 400_000  # padded words of a batch
 WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -32,47 +33,71 @@ def letters(text: str | None) -> list[str]:
     return WORDS(text.lower()) if text else []
 
 
+class Grams(dict):
+    """Feature string -> its place; short strings recur, so few are hashed twice."""
+
+    def __missing__(self, x: str) -> int:
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        self[x] = h = zlib.crc32(x.encode("utf-8", "replace")) % SPACE
+        return h
+
+
 class Crf:
     def __init__(self, langs: list[str], lexicon: dict[str, int]):
         n = len(langs)
-        self.langs, self.lexicon = langs, lexicon
+        self.langs, self.lexicon, self.grams = langs, lexicon, Grams()
         self.w = np.zeros((SPACE + (1 << n if n <= 6 else n + 1), n))
         self.trans, self.begin = np.zeros((n, n)), np.zeros(n)
 
     def features(self, word: str) -> list[int]:
         """Hashed prefixes and suffixes up to 3, pairs and triples of characters, lexicon entry."""
-        b = f"<{word}>"
-        names = {b[i : i + k] for k in (2, 3) for i in range(len(b) - k + 1)}
-        names |= {f"^{word[:k]}" for k in (1, 2, 3)} | {f"{word[-k:]}$" for k in (1, 2, 3)}
-        out = [zlib.crc32(x.encode("utf-8", "replace")) % SPACE for x in sorted(names)]
+        b, seen, n = f"<{word}>", self.grams, len(word)
+        out = [seen[b[i : i + 2]] for i in range(n + 1)]
+        out += [seen[b[i : i + 3]] for i in range(n)]
+        out += [seen["^" + word[:1]], seen["^" + word[:2]], seen["^" + word[:3]], seen[word[-1:] + "$"], seen[word[-2:] + "$"], seen[word[-3:] + "$"]]
         known = self.lexicon.get(word)
         return [*out, SPACE + known] if known is not None else out
 
     def emission(self, word: str) -> np.ndarray:
         return self.w[self.features(word)].sum(axis=0)
 
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Rows of label scores of many words at once."""
+        ids, starts = [], []
+        for w in words:
+            starts.append(len(ids))
+            ids += self.features(w)
+        return np.add.reduceat(self.w[ids], starts, axis=0) if words else np.zeros((0, len(self.langs)))
+
     def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Label probabilities (texts, words, labels) from emissions padded to one length."""
         n, width, labels = scores.shape
-        e = np.exp(scores - scores.max(axis=2, keepdims=True))
+        order = np.argsort(lengths, kind="stable")
+        # time first, short texts first: the texts that go on at t are a slice
+        e = np.ascontiguousarray(np.exp(scores - scores.max(axis=2, keepdims=True))[order].transpose(1, 0, 2))
+        going = np.searchsorted(lengths[order], np.arange(width), side="right").tolist()
         a = np.exp(self.trans - self.trans.max())
-        start = np.exp(self.begin - self.begin.max())
-        ahead = np.empty_like(e)
-        now = start * e[:, 0]
-        ahead[:, 0] = now = now / now.sum(axis=1, keepdims=True)
+        ahead, back = np.zeros_like(e), np.ones_like(e)
+        now, was = np.exp(self.begin - self.begin.max()) * e[0], 0
+        ahead[0] = now
         for t in range(1, width):
-            now = (now @ a) * e[:, t]
-            now /= now.sum(axis=1, keepdims=True)
-            ahead[:, t] = now
-        back = np.ones((n, labels))
-        for t in range(width - 1, -1, -1):
-            # a text that ends here starts its backward pass with ones
-            back[lengths - 1 <= t] = 1.0
-            now = ahead[:, t] * back
-            ahead[:, t] = now / now.sum(axis=1, keepdims=True)
-            back = (back * e[:, t]) @ a.T
-            back /= back.sum(axis=1, keepdims=True)
-        return ahead
+            k = going[t]
+            now = (now[k - was :] @ a) * e[t, k:]
+            if not t % RESCALE:
+                now /= now.sum(axis=1, keepdims=True)
+            ahead[t, k:], was = now, k
+        for t in range(width - 1, 0, -1):
+            k = going[t]
+            now = (back[t, k:] * e[t, k:]) @ a.T
+            if not t % RESCALE:
+                now /= now.sum(axis=1, keepdims=True)
+            back[t - 1, k:] = now
+        ahead *= back
+        ahead /= np.maximum(ahead.sum(axis=2, keepdims=True), 1e-300)
+        out = np.empty_like(scores)
+        out[order] = ahead.transpose(1, 0, 2)
+        return out
 
     def train(self, sequences: list[list[tuple[str, int]]], epochs: int = 5, batch: int = 32, rate: float = 0.25, l2: float = 1e-5) -> None:
         """Adagrad on the conditional log-likelihood; the sequences are of any lengths."""
@@ -201,25 +226,22 @@ def predict(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "
         model = sent.value
         n = len(model.langs)
         row_of: dict[str, int] = {}
-        rows = np.zeros((WORD_CACHE, max(n, 1)))
-
-        def place(word: str) -> int:
-            k = row_of.get(word)
-            if k is None:
-                k = row_of[word] = len(row_of) if any(c.isalpha() for c in word) else -1
-                if k < 0:
-                    del row_of[word]
-                else:
-                    rows[k] = model.emission(word)
-            return k
+        rows = np.zeros((WORD_CACHE, max(n, 1)), np.float32)
 
         def emissions(words: list[str]) -> np.ndarray:
+            if len(words) > WORD_CACHE // 2:
+                return np.concatenate([emissions(words[k : k + WORD_CACHE // 2]) for k in range(0, len(words), WORD_CACHE // 2)])
             if len(row_of) + len(words) > WORD_CACHE:
                 row_of.clear()
-            if len(words) > WORD_CACHE:
-                return np.concatenate([emissions(words[k : k + WORD_CACHE // 2]) for k in range(0, len(words), WORD_CACHE // 2)])
-            at = np.fromiter(map(place, words), dtype=np.int64, count=len(words))
-            return rows[at[at >= 0]].astype(np.float32)
+            new = [w for w in dict.fromkeys(words) if w not in row_of]
+            if new:
+                good = [w for w in new if w.isalpha() or any(map(str.isalpha, w))]
+                first = len(row_of)
+                rows[first : first + len(good)] = model.emissions(good)
+                row_of.update(zip(good, range(first, first + len(good)), strict=True))
+            if new and len(good) < len(new):  # numerals that the pattern takes for letters
+                words = [w for w in words if w in row_of]
+            return rows[np.fromiter(map(row_of.__getitem__, words), dtype=np.int64, count=len(words))]
 
         def step(columns):
             ids, texts = columns
