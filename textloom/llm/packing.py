@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from textloom.llm.bpe import load_tokenizer, shared_encoder
 from textloom.llm.common import map_batches, materialise
 
-GROUP = 200_000  # pieces that are ranked together
+GROUP = 20_000  # pieces that are ranked together
 
 
 def plan_bins(histogram: dict[int, int], tokens: int, documents: int | None = None, cost: int | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), score: str = "norm") -> np.ndarray:
