@@ -71,11 +71,19 @@ class Chain:
         return out
 
 
+def _places(among: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where the values that occur in a sorted array stand in it."""
+    if not len(among):
+        return np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(among, values), len(among) - 1)
+    return at[among[at] == values]
+
+
 def fit_chain(features: list[np.ndarray], y: np.ndarray, names: list[str]) -> Chain:
     """features: distinct word ids of each text; y: 0/1 per text and category."""
     held, n = np.unique(np.concatenate([*features, np.empty(0, np.int64)]), return_counts=True)
     held = held[n >= LEAST_DOCS]
-    own = [np.searchsorted(held, f[np.isin(f, held)]) for f in features]
+    own = [_places(held, f) for f in features]
     p = np.bincount(np.concatenate([*own, np.empty(0, np.int64)]), minlength=len(held)) / max(1, len(own))
     chosen: set[int] = set()
     for c in range(y.shape[1]):  # words whose presence says most about a category
@@ -88,7 +96,7 @@ def fit_chain(features: list[np.ndarray], y: np.ndarray, names: list[str]) -> Ch
     order = np.array(sorted(chosen), dtype=np.int64)
     words, x = held[order], np.zeros((len(own), len(order)), np.float32)
     for row, f in zip(x, own, strict=True):
-        row[np.searchsorted(order, f[np.isin(f, order)])] = 1
+        row[_places(order, f)] = 1
     fold = np.arange(len(x)) % FOLDS
     weights, outside = [], np.zeros((len(x), 0), np.float32)
     for c in range(y.shape[1]):
