@@ -166,9 +166,9 @@ def bpe_digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
             ids, texts = columns
             packed = [enc.encode(t) for t in texts]
             out = [ids, [len(p) // 4 for p in packed], [hashlib.sha256(p).hexdigest() for p in packed], [hashlib.sha256(enc.decode(p).encode("utf-8", "replace")).hexdigest() for p in packed]]
-            return [*out, [np.frombuffer(p, dtype="<u4") for p in packed]] if with_ids else out
+            return [*out, [np.frombuffer(p, dtype="<i4") for p in packed]] if with_ids else out
 
         return step
 
-    schema = f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids
+    schema = f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), start, schema)

@@ -14,11 +14,14 @@ from textloom.storage import materialise
 __all__ = ["fresh", "map_batches", "materialise", "table"]
 
 
+SLICE = 1024  # rows that are Python objects at a time
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, start: Callable[[], Callable[[list[list]], list[list]]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, start: Callable[[], Callable[[list[list]], list[list]]], schema: str, rows: int = SLICE) -> DataFrame:
     """Rows through Python in Arrow batches.
 
     start() runs once a task and returns a function from the lists of the input's columns to the
@@ -29,7 +32,7 @@ def map_batches(df: DataFrame, start: Callable[[], Callable[[list[list]], list[l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
-        for batch in batches:
+        for batch in (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)):
             out = step([c.to_pylist() for c in batch.columns])
             yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(out, kinds, strict=True)], names=names)
 

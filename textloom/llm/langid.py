@@ -285,5 +285,5 @@ def predict(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "
 
         return step
 
-    out = map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), start, f"`{id_col}` long, lang_pred string, score double, n_words long, n_switches long")
+    out = map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), start, f"`{id_col}` long, lang_pred string, score double, n_words long, n_switches long", rows=8192)
     return out.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "lang_pred", "score", "n_words", "n_switches")

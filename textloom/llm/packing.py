@@ -10,8 +10,10 @@ rank within the length.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,13 +87,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, tokens: int, end_id: int = 1,
                 for k in range(0, len(packed), 4 * tokens):
                     piece = packed[k : k + 4 * tokens]
                     row = [i, k // (4 * tokens), k // 4, len(piece) // 4, zlib.crc32(piece)]
-                    for column, v in zip(out, [*row, np.frombuffer(piece, dtype="<u4")] if with_ids else row, strict=True):
+                    for column, v in zip(out, [*row, np.frombuffer(piece, dtype="<i4")] if with_ids else row, strict=True):
                         column.append(v)
             return out
 
         return step
 
-    schema = f"`{id_col}` long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = f"`{id_col}` long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), start, schema)
 
 
@@ -112,21 +114,17 @@ def assign_bins(pieces: DataFrame, plan: np.ndarray, id_col: str = "doc_id") ->
     rows = plan[order]
     keys = rows[:, 0] * step + rows[:, 1]
     sent = pieces.sparkSession.sparkContext.broadcast((keys, rows, step))
-    names = [c for c in pieces.columns]
-
-    def start():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rows, step = sent.value
-
-        def place(columns):
-            length, rank = np.array(columns[-2], np.int64), np.array(columns[-1], np.int64)
+        for batch in batches:  # the pieces stay in Arrow; only their lengths and ranks are looked at
+            length, rank = batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
             row = rows[np.searchsorted(keys, length * step + np.minimum(rank, step - 1), side="right") - 1]
             k = rank - row[:, 1]
-            return [*columns[:-2], (row[:, 3] + k // row[:, 4]).tolist(), (row[:, 5] + k % row[:, 4] * length).tolist()]
-
-        return place
+            placed = [pa.array(row[:, 3] + k // row[:, 4]), pa.array(row[:, 5] + k % row[:, 4] * length)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *placed], names=[*batch.schema.names[:-2], "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    return map_batches(ranked.select(*names, F.col("length").alias("__length"), "rank"), start, f"{kinds}, sequence_id long, offset long")
+    return ranked.select(*pieces.columns, F.col("length").alias("__length"), F.col("rank").cast("long")).mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, tokens: int = 4096, documents: int | None = None, cost: int | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), score: str = "norm", end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
