@@ -180,6 +180,36 @@ def test_density_topics():
     assert (density_topics(x[:6]) == -1).all()
 
 
+def test_topics_of_many_blocks_are_those_of_one_set(spark, monkeypatch):
+    import numpy as np
+
+    from textloom import plans
+    from textloom.operators import evaluation as ev
+
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 0.2, size=(70, 3)) for c in ((0, 0, 0), (5, 5, 0), (0, 6, 1))] + [rng.uniform(-20, 20, size=(11, 3))])
+    x[1] = x[0]  # a copy
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(None, [0.1, 0.1, 0.1]), (900, None), (901, [float("nan")] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    want = ev.density_topics(np.vstack([x, [[0.1] * 3]]))
+    for block in (16, 100, 2048):
+        monkeypatch.setattr(ev, "BLOCK", block)
+        got = {r.vec_id: r.topic for r in ev.all_topics(df, "vec_id", "v").collect()}
+        assert len(got) == len(rows) and got[900] == got[901] == -1
+        pairs = {(int(want[k]), got[k]) for k in range(len(x))} | {(int(want[-1]), got[None])}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) and (-1, -1) in pairs
+    assert {r.topic for r in ev.all_topics(df.limit(6), "vec_id", "v").collect()} == {-1}
+    assert ev.all_topics(df.limit(0), "vec_id", "v").count() == 0
+    # the registered query: topics do not change when the table is larger than a block
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(ev, "BLOCK", 64)
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    whole = ev.density_topics(np.array([r.embedding for r in v], float))
+    got = {r.vec_id: r.topic for r in plans.queries()["topic_clusters"](spark, sf).collect()}
+    pairs = {(int(a), got[r.vec_id]) for a, r in zip(whole, v, strict=True)}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
 def test_learned_reranker(spark):
     from textloom.operators import evaluation as ev
 

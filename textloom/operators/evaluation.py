@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.storage import materialise
+
 JUDGED = ["faithfulness", "answer_relevance", "context_precision", "context_recall"]
 FEATURES = ["score", "is_lexical", "query_len"]
+BLOCK = 2048  # vectors whose distances to as many others one task holds
+FAN = 8  # forests that one task merges
+_EDGE = np.dtype([("w", "<f8"), ("a", "<i8"), ("b", "<i8")])
 
 
 def mock_judge(prompt: Column) -> list[Column]:
@@ -96,6 +104,11 @@ def density_topics(x: np.ndarray, least: int = 5) -> np.ndarray:
         best[closer], link[closer] = reach[at][closer], at
         at = int(np.where(inside, np.inf, best).argmin())
         edges.append((best[at], link[at], at))
+    return _condensed(n, sorted(edges), least)
+
+
+def _condensed(n: int, edges: list[tuple], least: int) -> np.ndarray:
+    """Labels from the spanning tree's edges (weight, a, b) by rising weight."""
     parent, size, left = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), {}
 
     def find(k):
@@ -104,7 +117,7 @@ def density_topics(x: np.ndarray, least: int = 5) -> np.ndarray:
             k = parent[k]
         return k
 
-    for k, (w, a, b) in enumerate(sorted(edges)):
+    for k, (w, a, b) in enumerate(edges):
         a, b = find(a), find(b)
         parent[a] = parent[b] = n + k
         size[n + k], left[n + k] = size[a] + size[b], (a, b, 1 / max(w, 1e-12))
@@ -170,3 +183,132 @@ def topics(df: DataFrame, id_col: str, vector: str, by: str, least: int = 5, mos
     rows = df.select(F.col(by).cast("long").alias("by"), F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
     return rows.groupBy("by").applyInPandas(run, "by long, id long, topic long").withColumnsRenamed({"by": by, "id": id_col})
 
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x, y = x.astype(float), y.astype(float)
+    return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T))
+
+
+def _nearest(d: np.ndarray, k: int) -> np.ndarray:
+    """The k smallest of each row, padded with infinity."""
+    if d.shape[1] < k:
+        d = np.hstack([d, np.full((len(d), k - d.shape[1]), np.inf)])
+    return np.partition(d, k - 1, axis=1)[:, :k]
+
+
+def _spanning(reach: np.ndarray, same: bool) -> list[tuple[float, int, int]]:
+    """Minimum spanning tree of one block, or of the links between two: (weight, row, column)."""
+    rows, n = len(reach), len(reach) if same else sum(reach.shape)
+    open_, best, link = np.ones(n, bool), np.full(n, np.inf), np.zeros(n, int)
+    at, edges = 0, []
+    for _ in range(n - 1):
+        open_[at] = False
+        best[at] = np.inf
+        side = slice(0, n) if same else slice(rows, n) if at < rows else slice(0, rows)
+        w = reach[at] if same or at < rows else reach[:, at - rows]
+        closer = (w < best[side]) & open_[side]
+        best[side][closer], link[side][closer] = w[closer], at
+        at = int(best.argmin())
+        edges.append((best[at], *sorted((int(link[at]), at))))
+    return edges if same else [(w, a, b - rows) for w, a, b in edges]
+
+
+def _forest(edges: np.ndarray) -> np.ndarray:
+    """The minimum spanning forest of edges, by weight, then ends, rising."""
+    edges = edges[np.lexsort((edges["b"], edges["a"], edges["w"]))]
+    nodes, ends = np.unique(np.concatenate([edges["a"], edges["b"]]), return_inverse=True)
+    parent, keep = list(range(len(nodes))), []
+    for k, (a, b) in enumerate(zip(ends[: len(edges)].tolist(), ends[len(edges) :].tolist(), strict=True)):
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if a != b:
+            parent[a] = b
+            keep.append(k)
+    return edges[keep]
+
+
+def _by_row(step: Callable, schema: str, names: list[str]) -> Callable:
+    """step over the values of one row at a time, each giving rows of names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows = list(step(*(c[k].as_py() for c in batch.columns)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(schema)], names=names)
+
+    return run
+
+
+def all_topics(df: DataFrame, id_col: str, vector: str, least: int = 5) -> DataFrame:
+    """(id, topic): density clusters of all vectors as one set, the clusters of density_topics.
+
+    Blocks of vectors meet in pairs: first for the core distances, then for the spanning tree of each
+    pair's links, and trees are merged until one is left; a dropped link closes a cycle as its longest,
+    so the last tree spans the whole set.  The work is quadratic.  A merging task and the driver hold
+    three numbers a vector.  A vector that is null or not finite is noise.
+    """
+    spark, kind = df.sparkSession, "<f4" if dict(df.dtypes)[vector] == "array<float>" else "<f8"
+    v = F.col(vector)
+    good = F.coalesce(v.isNotNull() & F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False))
+    src = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), good.alias("good"))
+    n = src.where("good").count()
+    noise = lambda rows: rows.select(F.col("id").alias(id_col), F.lit(-1).cast("long").alias("topic"))
+    if n < 2 * least:
+        return noise(src)
+    count, near = -(-n // BLOCK), least + 1
+    i64, raw = pa.int64(), pa.binary()
+    dealt = src.where("good").groupBy(F.pmod(F.xxhash64("id", "v"), F.lit(count)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    packed = dealt.select("block", "rows.id", "rows.v").mapInArrow(_by_row(lambda b, ids, vs: [(b, ids, np.array(vs, kind).tobytes())], (i64, pa.list_(i64), raw), ["block", "ids", "x"]), "block long, ids array<long>, x binary")
+    blocks = materialise(packed, "topic-blocks")
+    sizes = dict(blocks.select("block", F.size("ids")).collect())
+    start, at = {}, 0
+    for b in sorted(sizes):
+        start[b], at = at, at + sizes[b]
+
+    def paired(table: DataFrame) -> DataFrame:
+        pairs = spark.range(count).select(F.col("id").alias("i"), F.explode(F.sequence(F.col("id"), F.lit(count - 1))).alias("j"))
+        names = [c for c in table.columns if c != "block"]
+        for end in "ij":
+            pairs = pairs.join(table.select(F.col("block").alias(end), *[F.col(c).alias(f"{c}{end}") for c in names]), end)
+        pairs = pairs.select("i", "j", *[f"{c}{end}" for end in "ij" for c in names])
+        return pairs.repartition(-(-len(sizes) * (len(sizes) + 1) // 4), "i", "j")
+
+    def distances(i, xi, j, xj):
+        return _distances(np.frombuffer(xi, kind).reshape(sizes[i], -1), np.frombuffer(xj, kind).reshape(sizes[j], -1))
+
+    def closest(i, j, xi, xj):
+        d = distances(i, xi, j, xj)
+        yield i, _nearest(d, near).tobytes()
+        if i != j:
+            yield j, _nearest(d.T, near).tobytes()
+
+    def core(f: pd.DataFrame) -> pd.DataFrame:
+        best = np.full((sizes[f["block"].iloc[0]], near), np.inf)
+        for d in f["near"]:
+            best = _nearest(np.hstack([best, np.frombuffer(d).reshape(best.shape)]), near)
+        return pd.DataFrame({"block": f["block"].iloc[:1], "core": [best.max(1).tobytes()]})
+
+    def links(i, j, xi, ci, xj, cj):
+        reach = np.maximum(distances(i, xi, j, xj), np.maximum(np.frombuffer(ci)[:, None], np.frombuffer(cj)[None]))
+        edges = np.array([(w, start[i] + a, start[j] + b) for w, a, b in _spanning(reach, i == j)], _EDGE)
+        yield i * count + j, edges.tobytes()
+
+    def merged(f: pd.DataFrame) -> pd.DataFrame:
+        edges = _forest(np.concatenate([np.frombuffer(e, _EDGE) for e in f["edges"]]))
+        return pd.DataFrame({"key": f["part"].iloc[:1], "edges": [edges.tobytes()]})
+
+    near_rows = paired(blocks.select("block", "x")).mapInArrow(_by_row(closest, (i64, raw), ["block", "near"]), "block long, near binary")
+    cores = materialise(near_rows.groupBy("block").applyInPandas(core, "block long, core binary"), "topic-cores")
+    held = paired(blocks.select("block", "x").join(cores, "block"))
+    trees = materialise(held.mapInArrow(_by_row(links, (i64, raw), ["key", "edges"]), "key long, edges binary"), "topic-links")
+    parts = count * count
+    while parts > 1:
+        trees = materialise(trees.select(F.expr(f"key div {FAN}").alias("part"), "edges").groupBy("part").applyInPandas(merged, "key long, edges binary"), "topic-trees")
+        parts = -(-parts // FAN)
+    tree = np.concatenate([np.frombuffer(r[0], _EDGE) for r in trees.select("edges").collect()])
+    labels = _condensed(n, np.sort(tree, order=["w", "a", "b"]).tolist(), least)
+    named = spark.createDataFrame([(b, labels[start[b] : start[b] + sizes[b]].tolist()) for b in sizes], "block long, topics array<long>")
+    rows = blocks.select("block", "ids").join(named, "block").select(F.explode(F.arrays_zip("ids", "topics")).alias("r"))
+    return rows.select(F.col("r.ids").alias(id_col), F.col("r.topics").alias("topic")).unionByName(noise(src.where("not good")))

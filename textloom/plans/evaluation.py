@@ -56,4 +56,4 @@ def rerank_examples(t):
 
 @plan()
 def topic_clusters(t):
-    return ev.topics(t.embeddings.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.ceil(F.lit(t.embeddings.count() / 2000.0)).cast("long"))), "vec_id", "embedding", "part")
+    return ev.all_topics(t.embeddings, "vec_id", "embedding")
