@@ -57,3 +57,20 @@ def test_patterns_discover_unseen_identifiers(spark):
 
 def test_mask_overlaps():
     assert pii.mask("abcdefgh", [(1, 4, "card"), (2, 6, "phone")]) == "a<card>gh"
+
+
+def test_all_accepted_patterns_count_when_they_are_many(spark, monkeypatch):
+    names = [a + b for a in "abcdefgh" for b in "stuvw"]  # many contexts, all of the same confidence
+    rows = [(100 * k + i, f"we note {n}left {n}lead u{i}x{k}@mail.example.org {n}tail here", 1) for k, n in enumerate(names) for i in range(6)]
+    rows += [(None, f"we note {n}left {n}lead QX-77881{k:02}-Z {n}tail here", 1) for k, n in enumerate(names)] + [(9, None, 1), (9, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    few = pii.learn(df)
+    assert len(few) > 40
+    want = sorted(map(str, pii.report(df, few).collect()))
+    masked = sorted(map(str, pii.redact(df, few).collect()))
+    monkeypatch.setattr(pii, "MAX_PATTERNS", 10)
+    many = pii.learn(df)
+    assert sorted(map(str, pii.report(df, many).collect())) == want
+    redacted = pii.redact(df, many)
+    assert redacted.columns == df.columns and sorted(map(str, redacted.collect())) == masked
+    assert sum(r.n_found for r in pii.report(df, many).collect()) == len(names) and not any("QX" in m for m in masked)

@@ -11,17 +11,17 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import map_batches, materialise
+from textloom.llm.common import fresh, map_batches, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 SEEDED = "secret"  # seeds of a fifth kind: long strings that mix letters and digits
-MAX_PATTERNS = 10_000
+MAX_PATTERNS = 10_000  # accepted ones that are broadcast; more of them stay a table
 LEAST_SEEDS, LEAST_SCORE, ROUNDS, PRIOR = 5, 0.8, 4, 1.0
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,6 +34,7 @@ _SECRET = re.compile(r"(?=[A-Za-z0-9]*[0-9])(?=[A-Za-z0-9]*[A-Za-z])[A-Za-z0-9]{
 _EDGE = "\"'`,;:.!?()[]{}<>|*#%&$=/\\"
 
 Span = tuple[int, int, str]
+Accepted = dict[str, tuple[str, float]] | DataFrame
 
 
 def luhn(digits: str) -> bool:
@@ -121,8 +122,8 @@ def mentions(text: str | None) -> list[tuple[int, int, str | None, str, list[str
     return out
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> dict[str, tuple[str, float]]:
-    """Accepted patterns -> (kind, confidence), at most MAX_PATTERNS of them."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> Accepted:
+    """Accepted patterns -> (kind, confidence); beyond MAX_PATTERNS of them a table (pattern, of, conf)."""
 
     def start():
         def step(columns):
@@ -154,10 +155,40 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
         doubt = graph.join(patterns, ["pattern", "of"]).groupBy("value", "of").agg(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("conf")))).alias("doubt"))
         instances = materialise(values.join(doubt, ["value", "of"]).select("value", "of", "fixed", F.coalesce("fixed", 1 - F.exp("doubt")).alias("score")), "scores")
     final = graph.join(instances.select("value", "of", "score"), ["value", "of"]).groupBy("pattern", "of").agg((F.sum("score") / (F.count("*") + PRIOR)).alias("conf"))
-    best = final.where(F.col("conf") >= LEAST_SCORE).orderBy(F.desc("conf"), "pattern").limit(MAX_PATTERNS)
+    best = materialise(final.where(F.col("conf") >= LEAST_SCORE), "accepted")
+    if best.count() > MAX_PATTERNS:
+        return best
     return {r[0]: (r[1], r[2]) for r in best.collect()}
 
 
+def _lookup(docs: DataFrame, accepted: Accepted, text_col: str) -> tuple[DataFrame, Callable[[list], list[dict]]]:
+    """docs with the accepted patterns of each text as a last column, or null where all are broadcast, and what
+    makes a dict for each row of that column."""
+    name = fresh(docs, "accepted")
+    if isinstance(accepted, dict):
+        sent = docs.sparkSession.sparkContext.broadcast(accepted)
+        return docs.withColumn(name, F.lit(None).cast("array<struct<pattern:string,of:string,conf:double>>")), lambda column: [sent.value] * len(column)
+
+    def start():
+        def step(columns):
+            out = [[], []]
+            for key, t in zip(*columns, strict=True):
+                for p in {p for _, _, kind, _, patterns in mentions(t) if kind is None for p in patterns} if t else ():
+                    out[0].append(key)
+                    out[1].append(p)
+            return out
+
+        return step
+
+    # by the text: ids may be missing or shared
+    key = fresh(docs, "key")
+    sha = F.sha2(F.col(text_col), 256)
+    used = materialise(map_batches(docs.select(sha, F.col(text_col)), start, "key string, pattern string").distinct(), "used")
+    own = used.join(accepted, "pattern").groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("pattern", "of", "conf")).alias(name))
+    joined = docs.withColumn(key, sha).join(own, key, "left").select(*docs.columns, name)
+    return joined, lambda column: [{x["pattern"]: (x["of"], x["conf"]) for x in found or ()} for found in column]
+
+
 def all_spans(text: str | None, accepted: dict[str, tuple[str, float]]) -> list[Span]:
     """Base spans and what accepted patterns and secret seeds mark outside them."""
     out: list[Span] = []
@@ -175,20 +206,20 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def report(docs: DataFrame, accepted: dict[str, tuple[str, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(docs: DataFrame, accepted: Accepted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found.
 
     n_found counts spans that are not base ones.  A null or empty text has no spans (base_sha256 of
     the empty string).  Repeated rows are reported alike; an empty table gives no rows; other
     columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(accepted)
+    rows, patterns = _lookup(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col)), accepted, text_col)
 
     def start():
         def step(columns):
-            ids, texts = columns
+            ids, texts, found = columns
             base = [base_spans(t) for t in texts]
-            every = [all_spans(t, sent.value) for t in texts]
+            every = [all_spans(t, a) for t, a in zip(texts, patterns(found), strict=True)]
             counts = [[sum(k == kind for _, _, k in b) for b in base] for kind in KINDS]
             digest = [hashlib.sha256(_joined(b).encode()).hexdigest() for b in base]
             return [ids, *counts, digest, [_joined(s) for s in every], [len(s) - len(b) for s, b in zip(every, base, strict=True)]]
@@ -196,7 +227,7 @@ def report(docs: DataFrame, accepted: dict[str, tuple[str, float]], id_col: str
         return step
 
     schema = f"`{id_col}` long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_found long"
-    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), start, schema)
+    return map_batches(rows, start, schema)
 
 
 def mask(text: str | None, spans: list[Span]) -> str | None:
@@ -213,21 +244,22 @@ def mask(text: str | None, spans: list[Span]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, accepted: dict[str, tuple[str, float]], text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, accepted: Accepted, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with spans masked in text_col, and length_col, where there is one, set to match."""
-    sent = docs.sparkSession.sparkContext.broadcast(accepted)
+    rows, patterns = _lookup(docs, accepted, text_col)
     names = docs.columns
     place, size = names.index(text_col), names.index(length_col) if length_col in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             old = batch.column(place).to_pylist()
-            new = [mask(t, all_spans(t, sent.value)) for t in old]
-            columns = list(batch.columns)
+            found = patterns(batch.column(len(names)).to_pylist())
+            new = [mask(t, all_spans(t, a)) for t, a in zip(old, found, strict=True)]
+            columns = list(batch.columns)[: len(names)]
             columns[place] = pa.array(new, type=columns[place].type)
             if size is not None:
                 n = [len(b) if b is not None and b != a else c for a, b, c in zip(old, new, columns[size].to_pylist(), strict=True)]
                 columns[size] = pa.array(n, type=columns[size].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[: len(names)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
