@@ -8,6 +8,7 @@ import pytest
 from textloom.llm import minhash as M
 from textloom.llm import near_dedup
 from textloom.llm.exact_dedup import exact_dedup, exact_groups
+from textloom.llm.near_dedup import near_dedup as near_rows
 from textloom.llm.near_dedup import near_groups
 
 DOCS = "doc_id long, text string"
@@ -127,3 +128,31 @@ def test_hash_collisions_are_excluded(spark, monkeypatch):
     monkeypatch.setattr(mod, "_hasher", hasher)
     df = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "AA"), (4, "c")], DOCS)
     assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_groups(df).collect()} == {(1, 1, 2), (3, 1, 2), (2, 2, 1), (4, 4, 1)}
+
+
+SHARED = [
+    (1, "alpha text", "a"),
+    (1, "beta text", "b"),  # another text of the same id
+    (1, "ALPHA text", "c"),
+    (None, "alpha text", "d"),
+    (None, "gamma text", "e"),  # without id, but the only one
+    (None, "delta text", "f"),
+    (None, "Delta text", "g"),
+    (2, "beta text", "h"),
+    (3, "epsilon", "i"),
+    (3, "epsilon", "i"),
+]
+
+
+@pytest.mark.parametrize("dedup", [exact_dedup, near_rows])
+def test_every_text_keeps_a_row_whatever_its_id(spark, dedup):
+    seen = set()
+    for parts, rows in ((1, SHARED), (4, SHARED[::-1])):
+        df = spark.createDataFrame(rows, DOCS + ", lang string").repartition(parts)
+        kept = [tuple(r) for r in dedup(df).collect()]
+        assert sorted(t.lower() for _, t, _ in kept) == ["alpha text", "beta text", "delta text", "epsilon", "gamma text"]
+        assert {t.lower(): i for i, t, _ in kept} == {"alpha text": 1, "beta text": 1, "delta text": None, "epsilon": 3, "gamma text": None}
+        seen.add(frozenset(kept))
+    assert len(seen) == 1  # the same rows in any order of tasks
+    assert {r.doc_id for r in exact_dedup(spark.createDataFrame(SHARED, DOCS + ", lang string"), keep="largest").collect()} == {1, 2, 3, None}
+    assert dedup(df.limit(0)).count() == 0

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from textloom.storage import materialise
 
-__all__ = ["fresh", "map_batches", "materialise", "table"]
+__all__ = ["fresh", "map_batches", "materialise", "row_key", "table", "unique_ids"]
 
 
 SLICE = 1024  # rows that are Python objects at a time
@@ -45,3 +46,15 @@ def fresh(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def unique_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether id_col, as a long, names every row: never null, never twice."""
+    ids = df.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n"))
+    return ids.where("n > 1 or id is null").isEmpty()
+
+
+def row_key(df: DataFrame, text_col: str) -> Column:
+    """SHA-256 of a row's values: only rows that are the same in every column share it."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != text_col]
+    return F.sha2(F.to_json(F.struct(F.struct(*rest).alias("row"), F.sha2(F.col(text_col), 256).alias("text"))), 256)

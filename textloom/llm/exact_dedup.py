@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fresh, map_batches, materialise
+from textloom.llm.common import fresh, map_batches, materialise, row_key, unique_ids
 
 _PRINT = "id long, h128 binary, sha string"
 
@@ -21,10 +21,10 @@ _PRINT = "id long, h128 binary, sha string"
 def _hasher(with_bytes: bool):
     def start():
         def step(columns):
-            ids, texts = columns
+            ids, texts, *rest = columns
             norm = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]  # bytes.lower: A-Z only
             out = [ids, [xxhash.xxh3_128_digest(b) for b in norm], [hashlib.sha256(b).hexdigest() for b in norm]]
-            return [*out, norm] if with_bytes else out
+            return [*out, norm, *rest] if with_bytes else [*out, *rest]
 
         return step
 
@@ -39,17 +39,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of one id and text count in group_size and are all kept.  A row without id counts but is never
     kept.  An empty table gives no rows; other columns are not read.
     """
-    if keep not in ("smallest", "largest"):
-        raise ValueError("keep: smallest or largest")
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    best = F.min("id") if keep == "smallest" else F.max("id")
-    byte_groups = map_batches(src, _hasher(True), _PRINT + ", norm binary").groupBy("h128", "sha", "norm").agg(F.count("*").alias("n"), best.alias("keep_id"))
-    narrow = materialise(byte_groups.select("h128", "sha", "n", "keep_id", F.xxhash64("norm").alias("x")), "exact-groups")
-    if narrow.groupBy("h128").count().where("count > 1").isEmpty():
-        groups, rows, key = narrow.select("h128", "n", "keep_id"), map_batches(src, _hasher(False), _PRINT), ["h128"]
-    else:  # a collision of the 128-bit hash: the bytes themselves are the key
-        groups, rows, key = byte_groups.select("h128", "norm", "n", "keep_id"), map_batches(src, _hasher(True), _PRINT + ", norm binary"), ["h128", "norm"]
-    joined = rows.join(groups.where("n > 1"), key, "left")
+    joined, _ = _grouped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), keep)
     single = F.col("n").isNull()
     keep_id = F.when(single, F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
@@ -61,8 +51,34 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _grouped(src: DataFrame, keep: str) -> tuple[DataFrame, list[str]]:
+    """Rows of src (id, text and perhaps key) with n and keep_id of their group, if it has several rows, and the
+    columns that name the group."""
+    if keep not in ("smallest", "largest"):
+        raise ValueError("keep: smallest or largest")
+    own = ", key string" if "key" in src.columns else ""
+    best = F.min("id") if keep == "smallest" else F.max("id")
+    byte_groups = map_batches(src.select("id", "text"), _hasher(True), _PRINT + ", norm binary").groupBy("h128", "sha", "norm").agg(F.count("*").alias("n"), best.alias("keep_id"))
+    narrow = materialise(byte_groups.select("h128", "sha", "n", "keep_id", F.xxhash64("norm").alias("x")), "exact-groups")
+    if narrow.groupBy("h128").count().where("count > 1").isEmpty():
+        groups, rows, key = narrow.select("h128", "n", "keep_id"), map_batches(src, _hasher(False), _PRINT + own), ["h128"]
+    else:  # a collision of the 128-bit hash: the bytes themselves are the key
+        groups, rows, key = byte_groups.select("h128", "norm", "n", "keep_id"), map_batches(src, _hasher(True), _PRINT + ", norm binary" + own), ["h128", "norm"]
+    return rows.join(groups.where("n > 1"), key, "left"), key
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """docs without the rows that exact_groups drops, each id once; all columns stay."""
-    key = fresh(docs, "id")
-    kept = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias(key)).distinct()
-    return docs.withColumn(key, F.col(id_col).cast("long")).dropDuplicates([key]).join(kept, key, "left_semi").drop(key)
+    """docs with one row of each group of equal texts; all columns stay.
+
+    It is a row of the group's smallest or largest id; a row without id stays only where no row of the group has
+    one.  Of several such rows the one with the least hash of all its values stays.  Different texts that share an
+    id, or have none, all stay.
+    """
+    key = fresh(docs, "key")
+    unique = unique_ids(docs, id_col)
+    keyed = docs.withColumn(key, F.col(id_col).cast("string") if unique else row_key(docs, text_col))
+    rows, group = _grouped(keyed.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(key).alias("key")), keep)
+    first = rows.where(F.col("n").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))
+    kept = first.groupBy(*group).agg(F.min("key").alias(key)).select(key)
+    # rows of one key are the same in every column
+    return (keyed if unique else keyed.dropDuplicates([key])).join(kept, key, "left_semi").drop(key)

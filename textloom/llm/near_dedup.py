@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import minhash as M
-from textloom.llm.common import fresh, map_batches, materialise
+from textloom.llm.common import fresh, map_batches, materialise, row_key, unique_ids
 from textloom.llm.components import components
 
 BLOCK = 256  # members of a bucket that one task compares with as many
@@ -203,7 +203,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """docs with one row for each component of near_groups, all columns as they were."""
+    """docs with one row for each component of near_groups, all columns as they were.
+
+    It is the row of the smallest id; where ids are shared or missing, rows are numbered by id, those without one
+    last, and then by a hash of all their values, so that every text is a node of its own.
+    """
     key = fresh(docs, "id")
-    kept = near_groups(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias(key)).distinct()
-    return docs.withColumn(key, F.col(id_col).cast("long")).dropDuplicates([key]).join(kept, key, "left_semi").drop(key)
+    if unique_ids(docs, id_col):
+        rows = docs.withColumn(key, F.col(id_col).cast("long"))
+    else:
+        name = fresh(docs, "key")
+        keyed = docs.withColumn(name, row_key(docs, text_col)).dropDuplicates([name])
+        order = keyed.select(F.col(id_col).cast("long").alias("id"), name).orderBy(F.col("id").asc_nulls_last(), name)
+        numbers = materialise(order.select(name, F.monotonically_increasing_id().alias(key)), "numbers")
+        rows = materialise(keyed.join(numbers, name).drop(name), "numbered")
+    kept = near_groups(rows.select(key, text_col), key, text_col, percent).where("kept").select(key)
+    return rows.join(kept, key, "left_semi").drop(key)
