@@ -217,3 +217,20 @@ def test_learned_reranker(spark):
     model, auc = ev.train_reranker(ev.rerank_examples(events))
     hits = spark.createDataFrame([(1, 7, 0.2, 0.0, 3.0), (1, 8, 0.9, 0.0, 3.0), (1, 9, 0.5, 1.0, 3.0)], "query_id int, id int, score double, is_lexical double, query_len double")
     assert auc > 0.95 and [r.id for r in ev.apply_reranker(model, hits, 2).orderBy("rank").collect()] == [8, 9]
+
+
+def test_dense_asks_many_queries_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from textloom.operators import retrieval as rt
+
+    x = np.random.default_rng(5).normal(size=(60, 4))
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, embedding array<double>")
+    q = v.selectExpr("id AS query_id", "embedding AS q")
+    want = sorted((r.query_id, r.id, r["rank"]) for r in rt.dense(q, v, 3).collect())
+    monkeypatch.setattr(rt, "ASKED", 16)
+    assert sorted((r.query_id, r.id, r["rank"]) for r in rt.dense(q, v, 3).collect()) == want and len(want) == 180
+    # more queries than were ever taken at once
+    monkeypatch.setattr(rt, "ASKED", 10_000)
+    many = spark.range(10_050).selectExpr("id AS query_id", "array(1.0D, 0.0D, 0.0D, double(id)) AS q")
+    assert rt.dense(many, v.where("id < 3"), 1).count() == 10_050

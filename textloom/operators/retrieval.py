@@ -6,12 +6,16 @@ built once and read by term.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import vectors as vx
+from textloom.storage import materialise
 
 K1, B, RRF = 1.2, 0.75, 60
+ASKED = 10_000  # queries that are broadcast at once
 
 
 def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -50,12 +54,19 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int, pool: DataFrame | None = None) -> DataFrame:
-    """Exact cosine search of a bounded set of queries (query_id, q), which is broadcast after a check."""
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10000 queries at once: ask in blocks")
+    """Exact cosine search of queries (query_id, q), which are broadcast at most about ASKED at once."""
+    blocks = -(-queries.count() // ASKED) or 1
     v = vectors if pool is None else vectors.join(pool, "id", "left_semi")
-    pairs = v.join(F.broadcast(queries))
-    return top_k(pairs.select("query_id", "id", (1 - vx.cosine_distance(F.col("embedding"), F.col("q"))).alias("score")), k)
+
+    def hits(asked: DataFrame) -> DataFrame:
+        pairs = v.join(F.broadcast(asked))
+        return top_k(pairs.select("query_id", "id", (1 - vx.cosine_distance(F.col("embedding"), F.col("q"))).alias("score")), k)
+
+    if blocks == 1:
+        return hits(queries)
+    dealt = materialise(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
+    parts = [materialise(hits(dealt.where(F.col("block") == b).drop("block")), "hits") for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fuse_ranks(*lists: DataFrame) -> DataFrame:
