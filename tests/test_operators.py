@@ -234,3 +234,17 @@ def test_dense_asks_many_queries_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(rt, "ASKED", 10_000)
     many = spark.range(10_050).selectExpr("id AS query_id", "array(1.0D, 0.0D, 0.0D, double(id)) AS q")
     assert rt.dense(many, v.where("id < 3"), 1).count() == 10_050
+
+
+def test_scores_that_round_alike_are_ties_before_the_first_cut(spark, tmp_path):
+    from textloom import plans
+
+    # the smallest ids are worse by less than the digits that count, and 140 others stand before them
+    texts = [(k, "apple " * 10_000 + "filler " * (2 if k < 10 else 1)) for k in range(150)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "apple apple apple")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    vectors = [(k, [1.0, 1e-4 if 0 < k < 10 else 0.0]) for k in range(150)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name, query in (("lexical_search", 7), ("dense_search", 0)):
+        rows = [r for r in plans.queries()[name](spark, str(tmp_path)).collect() if r.query_id == query]
+        assert [r.id for r in sorted(rows, key=lambda r: r["rank"])] == list(range(10)), name

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import vectors as vx
@@ -31,9 +31,11 @@ def lengths(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.agg(F.count("*").alias("n_docs"), F.avg(n).alias("mean_length"))
 
 
-def bm25(queries: DataFrame, index: DataFrame, size: DataFrame, k: int) -> DataFrame:
+def bm25(queries: DataFrame, index: DataFrame, size: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """Top k texts of each query (query_id, term): query_id, id, score in [0, 1), rank.
 
+    With digits, scores are rounded before the best are taken, so that equal ones are ties on any engine.
+
     size is one row; terms of the queries are looked up before anything is weighed, so postings of
     other terms are only filtered out.
     """
@@ -44,7 +46,11 @@ def bm25(queries: DataFrame, index: DataFrame, size: DataFrame, k: int) -> DataF
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     scored = asked.join(s.select("term", "id", weight.alias("w")), "term").groupBy("query_id", "id").agg(F.sum("w").alias("raw"))
-    return top_k(scored.select("query_id", "id", (F.col("raw") / (1 + F.col("raw"))).alias("score")), k)
+    return top_k(scored.select("query_id", "id", _rounded(F.col("raw") / (1 + F.col("raw")), digits).alias("score")), k)
+
+
+def _rounded(score: Column, digits: int | None) -> Column:
+    return score if digits is None else F.round(score, digits) + 0.0
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -53,14 +59,14 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int, pool: DataFrame | None = None) -> DataFrame:
-    """Exact cosine search of queries (query_id, q), which are broadcast at most about ASKED at once."""
+def dense(queries: DataFrame, vectors: DataFrame, k: int, pool: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+    """Exact cosine search of queries (query_id, q), which are broadcast at most about ASKED at once; digits as in bm25."""
     blocks = -(-queries.count() // ASKED) or 1
     v = vectors if pool is None else vectors.join(pool, "id", "left_semi")
 
     def hits(asked: DataFrame) -> DataFrame:
         pairs = v.join(F.broadcast(asked))
-        return top_k(pairs.select("query_id", "id", (1 - vx.cosine_distance(F.col("embedding"), F.col("q"))).alias("score")), k)
+        return top_k(pairs.select("query_id", "id", _rounded(1 - vx.cosine_distance(F.col("embedding"), F.col("q")), digits).alias("score")), k)
 
     if blocks == 1:
         return hits(queries)
