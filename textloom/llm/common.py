@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,16 +12,35 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from textloom.storage import materialise
 
-__all__ = ["fresh", "map_batches", "materialise", "row_key", "table", "unique_ids"]
+__all__ = ["fresh", "gather", "map_batches", "materialise", "row_key", "slices", "table", "unique_ids"]
 
 
 SLICE = 1024  # rows that are Python objects at a time
+SLICE_BYTES = 8 << 20  # and their size; a single longer row is a slice of its own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def gather(df: DataFrame) -> DataFrame:
+    """df dealt anew, so that what is written next has files of the session's advisory size, not one a task."""
+    return df.hint("rebalance")
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows and `most` bytes, but for single rows that have more."""
+    for batch in batches:
+        todo = [batch.slice(k, rows) for k in range(0, batch.num_rows, rows)][::-1]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > most:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
 def map_batches(df: DataFrame, start: Callable[[], Callable[[list[list]], list[list]]], schema: str, rows: int = SLICE) -> DataFrame:
     """Rows through Python in Arrow batches.
 
@@ -33,9 +52,10 @@ def map_batches(df: DataFrame, start: Callable[[], Callable[[list[list]], list[l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
-        for batch in (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)):
+        for batch in slices(batches, rows):
             out = step([c.to_pylist() for c in batch.columns])
             yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(out, kinds, strict=True)], names=names)
+        pa.default_memory_pool().release_unused()  # workers live on after a task
 
     return df.mapInArrow(run, schema)
 

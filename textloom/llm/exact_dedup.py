@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fresh, map_batches, materialise, row_key, unique_ids
+from textloom.llm.common import fresh, gather, map_batches, materialise, row_key, unique_ids
 
 _PRINT = "id long, h128 binary, sha string"
 
@@ -59,7 +59,7 @@ def _grouped(src: DataFrame, keep: str) -> tuple[DataFrame, list[str]]:
     own = ", key string" if "key" in src.columns else ""
     best = F.min("id") if keep == "smallest" else F.max("id")
     byte_groups = map_batches(src.select("id", "text"), _hasher(True), _PRINT + ", norm binary").groupBy("h128", "sha", "norm").agg(F.count("*").alias("n"), best.alias("keep_id"))
-    narrow = materialise(byte_groups.select("h128", "sha", "n", "keep_id", F.xxhash64("norm").alias("x")), "exact-groups")
+    narrow = materialise(gather(byte_groups.select("h128", "sha", "n", "keep_id", F.xxhash64("norm").alias("x"))), "exact-groups")
     if narrow.groupBy("h128").count().where("count > 1").isEmpty():
         groups, rows, key = narrow.select("h128", "n", "keep_id"), map_batches(src, _hasher(False), _PRINT + own), ["h128"]
     else:  # a collision of the 128-bit hash: the bytes themselves are the key
@@ -72,13 +72,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     It is a row of the group's smallest or largest id; a row without id stays only where no row of the group has
     one.  Of several such rows the one with the least hash of all its values stays.  Different texts that share an
-    id, or have none, all stay.
+    id, or have none, all stay.  Null and empty texts are one group; an empty table gives no rows.  Texts are not
+    shuffled again: the rows that go, most often few, are taken out by an anti-join.
     """
     key = fresh(docs, "key")
     unique = unique_ids(docs, id_col)
     keyed = docs.withColumn(key, F.col(id_col).cast("string") if unique else row_key(docs, text_col))
     rows, group = _grouped(keyed.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(key).alias("key")), keep)
-    first = rows.where(F.col("n").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))
-    kept = first.groupBy(*group).agg(F.min("key").alias(key)).select(key)
+    several = rows.where(F.col("n").isNotNull())
+    first = several.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy(*group).agg(F.min("key").alias("first"))
     # rows of one key are the same in every column
-    return (keyed if unique else keyed.dropDuplicates([key])).join(kept, key, "left_semi").drop(key)
+    gone = several.select("key", *group).distinct().join(first, group).where("key <> first").select(F.col("key").alias(key))
+    return (keyed if unique else keyed.dropDuplicates([key])).join(materialise(gather(gone), "gone"), key, "left_anti").drop(key)

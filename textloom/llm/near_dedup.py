@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import minhash as M
-from textloom.llm.common import fresh, map_batches, materialise, row_key, unique_ids
+from textloom.llm.common import fresh, gather, map_batches, materialise, row_key, slices, unique_ids
 from textloom.llm.components import components
 
 BLOCK = 256  # members of a bucket that one task compares with as many
@@ -47,11 +47,20 @@ def _prints(src: DataFrame) -> DataFrame:
 
 
 def _sets(src: DataFrame) -> DataFrame:
+    """The sets of nodes: src has node, set_key and the text of every row with the node's id."""
+
     def start():
         seen = M.WordHashes()
-        return lambda columns: [columns[0], [M.shingles(t, seen).tobytes() for t in columns[1]]]
 
-    return map_batches(src, start, "id long, sh binary")
+        def step(columns):
+            nodes, keys, texts = columns
+            found = [M.shingles(t, seen).tobytes() for t in texts]
+            own = [xxhash.xxh3_128_digest(s) == k for s, k in zip(found, keys, strict=True)]  # an id may have other texts
+            return [[x for x, o in zip(nodes, own, strict=True) if o], [s for s, o in zip(found, own, strict=True) if o]]
+
+        return step
+
+    return map_batches(src, start, "id long, sh binary").dropDuplicates(["id"])
 
 
 def _verify(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -62,7 +71,7 @@ def _verify(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = spread.join(sets.withColumnsRenamed({"id": "b", "sh": "sb"}), "b").join(left, ["a", "part"]).select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             good = [M.similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
@@ -135,7 +144,7 @@ def _rest(open_rows: DataFrame, percent: int) -> DataFrame:
             links = list(dict.fromkeys(_block_links(rows, percent))) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches):
             h, i, j, side, ids, label, n = (batch.column(k).to_pylist() for k in range(7))
             for k, sh in enumerate(batch.column(7)):
                 if (h[k], i[k], j[k]) != key:
@@ -161,23 +170,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are linked if 100 * |common shingles| >= percent * |all their shingles|; component_id is
     the smallest id reachable by links, and kept says that it is the row's own.  Null, empty and
-    blank texts have no shingles and no links.  Repeated rows of one id share its component.  A
-    row without id takes part in no link, has no component and is not kept.  An empty table gives
-    no rows; other columns are not read.
+    blank texts have no shingles and no links.  Repeated rows of one id and text share its
+    component; rows that share an id but no text are judged each by its own text.  A row without id
+    takes part in no link, has no component and is not kept.  An empty table gives no rows; other
+    columns are not read.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = materialise(_prints(src), "prints")
-    # copies of one set: their smallest id stands for them
-    reps = materialise(prints.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n")), "sets")
-    nodes = materialise(prints.join(reps, ["id", "set_key"], "left_semi").dropDuplicates(["id", "set_key"]).select("id", F.explode("bands").alias("h")), "buckets")
-    crowded = nodes.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialise(nodes.join(crowded, "h"), "members")
+    prints = materialise(gather(_prints(src)), "prints")
+    # copies of one set are one node; the set says the bands
+    sets_of = prints.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    reps = materialise(gather(sets_of).withColumn("id", F.monotonically_increasing_id()), "sets")
+    nodes = reps.select("id", F.explode("bands").alias("h"))
+    crowded = materialise(gather(nodes.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")), "crowded")
+    members = materialise(gather(nodes.join(crowded, "h")), "members")
     # the center of a bucket is the member with the most company over all buckets
     company = members.groupBy("id").agg(F.sum("size").alias("company"))
     centers = members.join(company, "id").groupBy("h").agg(F.max(F.struct("company", (-F.col("id")).alias("x"))).alias("top")).select("h", (-F.col("top.x")).alias("a"))
     edges = materialise(members.join(centers, "h").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "edges")
-    wanted = members.select("id").distinct()
-    sets = materialise(_sets(src.join(wanted, "id", "left_semi")), "shingles")
+    wanted = reps.join(members.select("id").distinct(), "id").select(F.col("id").alias("node"), "set_key", F.col("doc").alias("id"))
+    sets = materialise(_sets(src.join(wanted, "id").select("node", "set_key", "text")), "shingles")
     links = materialise(_verify(edges, sets, percent), "links")
     labels = materialise(components(links), "labels")
 
@@ -185,14 +196,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints_of = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
     split = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), *prints_of).where("lo <> hi")
     split = split.groupBy("n", "x0", "x1").agg(F.min("h").alias("h")).select("h")  # buckets of the same members: one of them
-    rest = materialise(named.join(split, "h", "left_semi"), "open")
+    rest = materialise(gather(named.join(split, "h", "left_semi")), "open")
     if not rest.isEmpty():
         sized = rest.join(reps.select("id", "n"), "id").join(_narrow(sets.join(rest.select("id").distinct(), "id", "left_semi")), "id")
         more = materialise(_verify(materialise(_rest(sized, percent), "candidates"), sets, percent), "links")
         if not more.isEmpty():
             labels = materialise(components(links.unionByName(more)), "labels")
 
-    roots = materialise(reps.join(labels, "id", "left").select("set_key", F.coalesce("label", "id").alias("root")), "roots")
+    least = labels.join(reps.select("id", "doc"), "id").groupBy("label").agg(F.min("doc").alias("root"))
+    named = reps.select("set_key", "id", "doc").join(labels, "id", "left").join(least, "label", "left")
+    roots = materialise(gather(named.select("set_key", F.coalesce("root", "doc").alias("root"))), "roots")
     root = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return prints.select("id", "n", "set_key").join(roots, "set_key", "left").select(
         F.col("id").alias(id_col),
@@ -206,7 +219,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one row for each component of near_groups, all columns as they were.
 
     It is the row of the smallest id; where ids are shared or missing, rows are numbered by id, those without one
-    last, and then by a hash of all their values, so that every text is a node of its own.
+    last, and then by a hash of all their values, so that every text is a node of its own.  Null, empty and blank
+    texts are like nothing and stay; an empty table gives no rows.
     """
     key = fresh(docs, "id")
     if unique_ids(docs, id_col):
@@ -217,5 +231,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         order = keyed.select(F.col(id_col).cast("long").alias("id"), name).orderBy(F.col("id").asc_nulls_last(), name)
         numbers = materialise(order.select(name, F.monotonically_increasing_id().alias(key)), "numbers")
         rows = materialise(keyed.join(numbers, name).drop(name), "numbered")
-    kept = near_groups(rows.select(key, text_col), key, text_col, percent).where("kept").select(key)
-    return rows.join(kept, key, "left_semi").drop(key)
+    gone = near_groups(rows.select(key, text_col), key, text_col, percent).where("not kept").select(key)
+    return rows.join(materialise(gather(gone), "gone"), key, "left_anti").drop(key)
