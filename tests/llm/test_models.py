@@ -44,11 +44,46 @@ def test_resampling_keeps_good_and_rejects_bad(spark):
     few = docs.where("doc_id is not null and doc_id <> 3")
     assert {r.doc_id for r in quality.score(few, model, k=37).collect() if r.kept} == {i for _, i in keys[:37]}
     assert quality.score(few, model, k=0).where("kept").count() == 0
+    assert {r.doc_id for r in quality.select(few, lab, k=37).collect()} == {i for _, i in keys[:37]}
+    tied = spark.createDataFrame([(i, "river stone", "en", "s", 0) for i in (7, 7, 7, None)], DOCS)  # equal keys of one id, and noise of none
+    assert quality.score(tied, model, k=3).where("kept").count() in (3, 4)  # rows of one id stay together
+    assert quality.select(docs.limit(0), lab).count() == 0
     none = lab.limit(0)
     assert quality.score(docs, quality.fit(docs, none)).where("kept").count() == len(rows) - 2
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_ratio_is_that_of_counted_ngrams(spark):
+    """Buckets, counts, ratio and cut by hand over a small table."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    rows, labels = documents(60, seed=4)
+    docs, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, lab)
+    halves = {r.id: r.h for r in spark.createDataFrame([(i,) for i, _, _ in labels], "id long").select("id", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).alias("h")).collect()}
+    target, raw = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    good = {i for i, q, _ in labels if q == 1 and halves[i] == 0}
+    hashes = quality.TokenHashes()
+    for i, t, *_ in rows:
+        tokens = re.findall(r"\w+|[^\w\s]+", t.lower())
+        grams = quality.ngrams(t, hashes)
+        assert len(grams) == 2 * len(tokens) - 1
+        # equal n-grams share a bucket, and the bucket of a word is that of the word alone
+        assert [int(quality.ngrams(w, hashes)[0]) for w in tokens] == grams[: len(tokens)].tolist()
+        assert [int(quality.ngrams(f"{a} {b}", hashes)[2]) for a, b in zip(tokens, tokens[1:])] == grams[len(tokens) :].tolist()
+        for g in grams:
+            raw[g] += 1
+            target[g] += i in good
+    want = np.log((target + 1) / (target.sum() + len(target))) - np.log((raw + 1) / (raw.sum() + len(raw)))
+    assert np.allclose(model.weights, want, atol=1e-12)
+    scored = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    assert all(abs(scored[i].log_weight - want[quality.ngrams(t, hashes)].sum()) < 1e-6 for i, t, *_ in rows)
+    reach = sorted(r.sample_key for r in scored.values())
+    assert sorted(r.sample_key for r in scored.values() if r.kept) == [x for x in reach if x >= model.cut]
+
+
 def test_gumbel_noise_is_gumbel():
     x = quality.gumbel(list(range(20_000)), 3)
     assert abs(x.mean() - 0.5772) < 0.03 and abs(x.std() - math.pi / 6**0.5) < 0.03

@@ -3,8 +3,9 @@
 Two hashed n-gram models, of the target (texts labelled good) and of all raw text, give each
 document the log of their likelihood ratio; with Gumbel noise added, the k documents of the greatest
 keys are a sample without replacement in proportion to the ratio.  The raw model counts every
-document.  The target model and the cut use a bounded, documented number of labelled rows: half of
-them count n-grams, the other half say which key separates good from bad best.
+document.  The target model and the sample's size use a bounded, documented number of labelled rows:
+half of them count n-grams, the other half say which key separates good from bad best, and k is the
+number of documents whose key reaches that one.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from textloom.llm.common import map_batches, materialise
+from textloom.llm.common import fresh, map_batches, materialise, slices
 from textloom.llm.minhash import mix
 
 BUCKETS = 1 << 15
@@ -26,6 +28,7 @@ MAX_LABELLED = 20_000
 WORD_CACHE = 400_000
 TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 
+_LAST = (1 << 63) - 1  # in the place of a missing id
 _SAME = np.uint64(0x94D049BB133111EB)
 
 
@@ -71,7 +74,7 @@ def _counts(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, target, raw = TokenHashes(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 c = np.bincount(ngrams(text, seen), minlength=BUCKETS)
                 raw += c
@@ -117,7 +120,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     weights = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
     half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)) == 1
     judged = sample.where(half)
-    keys = _scores(src.join(F.broadcast(judged), "id", "left_semi"), weights, seed).join(F.broadcast(judged), "id").select("sample_key", "y").where("sample_key is not null").collect()
+    scored = _scores(src.join(F.broadcast(judged), "id", "left_semi"), weights, seed).where("sample_key is not null")
+    one = scored.groupBy("id").agg(F.min("sample_key").alias("sample_key"))  # an id may recur
+    keys = one.join(F.broadcast(judged), "id").select("sample_key", "y").collect()  # at most max_labelled rows
     good, bad = np.sort([k for k, y in keys if y == 1]), np.sort([k for k, y in keys if y != 1])
     if not len(good) or not len(bad):
         return Ratio(weights, -np.inf)
@@ -131,31 +136,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Ratio, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, k: int | None = None) -> DataFrame:
     """One row per input row: id_col, log_weight, sample_key, kept.
 
-    Kept are the k greatest keys; k None takes as many as reach the model's cut.  A text without
-    n-grams (null, empty, blank) has null weight and key and is not kept.  Without labels to learn
-    from, every text with n-grams is kept.  Ties of keys go to the smaller id.  Repeated rows are
-    scored alike; an empty table gives no rows; other columns are not read.
+    Kept are the k greatest keys, ties of keys going to the smaller id and rows without id last; k
+    None is the number of keys that reach the model's cut.  A text without n-grams (null, empty,
+    blank) has null weight and key and is not kept.  Without labels to learn from, every text with
+    n-grams is kept.  Repeated rows are scored alike, and where the k-th is one of them all of them
+    are kept; an empty table gives no rows; other columns are not read.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    keyed = _scores(src, model.weights, seed)
+    keyed = materialise(_scores(src, model.weights, seed), "keys")
+    return keyed.select(F.col("id").alias(id_col), "log_weight", "sample_key", _taken(keyed, "id", "sample_key", model, k).alias("kept"))
+
+
+def _taken(keyed: DataFrame, id_col: str, key_col: str, model: Ratio, k: int | None) -> Column:
+    """Whether a row of the written table keyed is among the k of the greatest keys."""
+    rows = keyed.select(F.col(key_col).alias("x"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"))
     if k is None:
-        kept = F.coalesce(F.col("sample_key") >= F.lit(model.cut), F.lit(False))
-    else:
-        keyed = materialise(keyed, "keys")
-        least, last = _kth(keyed, k)
-        above = (F.col("sample_key") > F.lit(least)) | ((F.col("sample_key") == F.lit(least)) & (F.col("id") <= F.lit(last)))
-        kept = F.coalesce(above, F.lit(False))
-    return keyed.select(F.col("id").alias(id_col), "log_weight", "sample_key", kept.alias("kept"))
-
-
-def _kth(keyed: DataFrame, k: int) -> tuple[float, int]:
-    """The k-th greatest key and the id up to which equal keys are taken, by halving the key's range."""
-    rows = keyed.where("sample_key is not null and id is not null").select(F.col("sample_key").alias("x"), "id")
+        k = rows.where(F.col("x") >= F.lit(model.cut)).count()
+    least, last = _kth(rows, k)
+    tie = (F.col(key_col) == F.lit(least)) & (F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) <= F.lit(last))
+    return F.coalesce((F.col(key_col) > F.lit(least)) | tie, F.lit(False))
+
+
+def _kth(rows: DataFrame, k: int) -> tuple[float, int]:
+    """The k-th greatest key x and the id up to which equal keys are taken, by narrowing the key's range."""
+    rows = rows.where("x is not null")
     low, high, n = rows.agg(F.min("x"), F.max("x"), F.count("*")).first()
     if k <= 0 or not n:
         return np.inf, 0
     if k >= n:
-        return low, np.iinfo(np.int64).max
+        return low, _LAST
     above = 0  # rows beyond high
     while low < high:
         width, parts = (high - low), 1024
@@ -169,17 +178,26 @@ def _kth(keyed: DataFrame, k: int) -> tuple[float, int]:
     return low, ties
 
 
-def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
-    """docs that score() keeps, in one pass over them; all columns stay as they were."""
+def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, k: int | None = None) -> DataFrame:
+    """The rows of docs that score() keeps; all columns stay as they were.
+
+    The keys are computed in one pass and written beside the rows.  Null, empty and blank texts go;
+    repeated rows are judged alike, by ties, so that of rows of one id all or none stay; an empty
+    table gives no rows.
+    """
     model = fit(docs, labels, id_col, text_col, seed=seed)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(id_col), docs.columns.index(text_col)
+    key = fresh(docs, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, m = TokenHashes(), sent.value
-        for batch in batches:
+        for batch in slices(batches):
+            found = [float(m.weights[g].sum()) if len(g := ngrams(t, seen)) else None for t in batch.column(place[1]).to_pylist()]
             noise = gumbel(batch.column(place[0]).to_pylist(), seed)
-            grams = [ngrams(t, seen) for t in batch.column(place[1]).to_pylist()]
-            yield batch.filter(pa.array([bool(len(g)) and m.weights[g].sum() + x >= m.cut for g, x in zip(grams, noise, strict=True)], pa.bool_()))
+            keys = pa.array([None if w is None else w + x for w, x in zip(found, noise.tolist(), strict=True)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, key])
+        pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, docs.schema)
+    keyed = materialise(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(key, DoubleType())])), "keyed")
+    return keyed.where(_taken(keyed, id_col, key, model, k)).drop(key)
