@@ -3,6 +3,7 @@ import struct
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -73,3 +74,43 @@ def test_pack(spark):
         assert at <= 4096
     assert len(bins) == best_fit([r.length for r in got], 4096)
     assert packing.pack(df.limit(0), tokenizer_path()).count() == 0
+
+
+def sequential(lengths, tokens, documents, cost, score):
+    """Vector best-fit decreasing, one piece and one bin at a time: the residuals of the bins."""
+    top = np.array([tokens, documents, cost], float)
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        need = np.array([n, 1, n * n], float)
+        fit = [k for k, left in enumerate(bins) if (left >= need).all()]
+        if not fit:
+            bins.append(top.copy())
+            fit = [len(bins) - 1]
+        if score == "norm":
+            best = min(fit, key=lambda k: ((((bins[k] - need) / top) ** 2).sum(), k))
+        else:
+            best = min(fit, key=lambda k: (-((bins[k] / top) * (need / top)).sum(), k))
+        bins[best] = bins[best] - need
+    return sorted(tuple(b.astype(int).tolist()) for b in bins)
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+@pytest.mark.parametrize(("seed", "documents", "cost"), [(1, 100, 10_000), (2, 6, 10_000), (3, 100, 3_000), (4, 7, 2_600)])
+def test_plan_is_sequential_vector_best_fit(score, seed, documents, cost):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, 50, 300).tolist()
+    histogram = {int(n): lengths.count(n) for n in set(lengths)}
+    left = {}
+    for n, _, pieces, first, each, _ in packing.plan_bins(histogram, 100, documents, cost, score=score).tolist():
+        for k in range(pieces):
+            old = left.setdefault(first + k // each, [100, documents, cost])
+            left[first + k // each] = [old[0] - n, old[1] - 1, old[2] - n * n]
+    assert min(min(x) for x in left.values()) >= 0
+    assert sorted(map(tuple, left.values())) == sequential(lengths, 100, documents, cost, score)
+
+
+def test_capacities_are_positive():
+    for bad in ({"tokens": 0}, {"tokens": 5, "documents": 0}, {"tokens": 5, "cost": 0}):
+        with pytest.raises(ValueError):
+            packing.plan_bins({1: 1}, **bad)
+    assert packing.plan_bins({}, 5, 5, 25).shape == (0, 6)

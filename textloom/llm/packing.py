@@ -28,10 +28,13 @@ def plan_bins(histogram: dict[int, int], tokens: int, documents: int | None = No
 
     A bin holds at most `tokens` tokens, `documents` pieces and `cost` summed squared lengths (None:
     no such limit).  score "norm" takes the bin whose weighted residual is smallest after the piece,
-    "dot" the one whose residual is most aligned with the piece's demand.
+    "dot" the one whose residual is most aligned with the piece's demand.  An empty histogram gives
+    no rows.
     """
     if score not in ("norm", "dot"):
         raise ValueError("score: norm or dot")
+    if any(x is not None and x < 1 for x in (tokens, documents, cost)):
+        raise ValueError("capacities are positive; None is no limit")
     top = np.array([tokens, documents or np.iinfo(np.int64).max // 4, cost or np.iinfo(np.int64).max // 4], dtype=np.int64)
     use = np.array([tokens > 0, documents is not None, cost is not None]) * np.array(weights)
     left, count, base = np.empty((0, 3), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -43,15 +46,16 @@ def plan_bins(histogram: dict[int, int], tokens: int, documents: int | None = No
         rank, todo = 0, histogram[length]
         while todo:
             fits = np.flatnonzero((left >= need).all(axis=1))
+            fill = score == "norm" or not len(fits)  # whether a bin that is taken stays the best until it is full
             if len(fits):
                 after = (left[fits] - need) / top
                 points = (after**2 @ use) if score == "norm" else -((left[fits] / top * (need / top)) @ use)
                 at = int(fits[np.argmin(points)])
             else:  # new bins for all that is left
-                each = int((top // need).min()) if score == "norm" else 1
+                each = int((top // need).min())
                 left, count, base = np.vstack((left, top)), np.append(count, -(-todo // each)), np.append(base, bins)
                 bins, at = bins + int(count[-1]), len(count) - 1
-            each = int((left[at] // need).min()) if score == "norm" else 1
+            each = int((left[at] // need).min()) if fill else 1
             whole, part = min(int(count[at]), todo // each), 0
             if whole < count[at]:
                 part = todo - whole * each
@@ -98,7 +102,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, tokens: int, end_id: int = 1,
 
 
 def assign_bins(pieces: DataFrame, plan: np.ndarray, id_col: str = "doc_id") -> DataFrame:
-    """pieces with sequence_id and offset, by their rank within their length."""
+    """pieces with sequence_id and offset, by their rank within their length.
+
+    Repeated rows rank one after the other, so each has a place; no pieces give no rows.
+    """
     groups = max(1, -(-pieces.count() // GROUP))
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups)))
     within = Window.partitionBy("length", "grp").orderBy(id_col, "piece")
@@ -114,6 +121,7 @@ def assign_bins(pieces: DataFrame, plan: np.ndarray, id_col: str = "doc_id") ->
     rows = plan[order]
     keys = rows[:, 0] * step + rows[:, 1]
     sent = pieces.sparkSession.sparkContext.broadcast((keys, rows, step))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rows, step = sent.value
         for batch in batches:  # the pieces stay in Arrow; only their lengths and ranks are looked at

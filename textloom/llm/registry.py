@@ -11,6 +11,9 @@ from textloom.llm import bpe, exact_dedup, langid, mtree, near_dedup, packing, p
 from textloom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
+#: A sequence's tokens, pieces and summed squared lengths: the last two weigh in the choice of a bin, but 4096 tokens
+#: never have more pieces or cost, so that they cost no sequence.
+CAPACITIES = {"tokens": 4096, "documents": 4096, "cost": 4096**2}
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
@@ -54,7 +57,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), tokens=4096)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), **CAPACITIES)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
