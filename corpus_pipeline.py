@@ -7,9 +7,11 @@ shared folder and reads again as the next one's docs:
 2. exact_dedup: one document of each group of equal texts stays, the smallest doc_id.
 3. near_dedup: one document of each near-duplicate component (five-word shingles, 0.8) stays.
 4. pii: personal data and what bootstrapped patterns find is masked; n_chars follows the text.
-5. packing: the texts as token pieces in sequences of at most 4096 tokens.
+5. packing: the texts as token pieces in sequences, by vector best-fit under three capacities.
 
-All but the last return the columns of documents.  Null and empty texts leave in stage 1.
+All but the last return the columns of documents, further ones included.  Null, empty and blank texts
+leave in stage 1; rows without id, or of one id, are judged each by its text; repeated rows leave in
+stage 2; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,27 +22,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import exact_dedup, near_dedup, packing, pii, quality
 from textloom.llm.common import materialise, table
-from textloom.llm.registry import tokenizer_path
+from textloom.llm.registry import CAPACITIES, tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that reach the sample; null, empty and blank texts go."""
     return quality.select(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts; texts of a shared or missing id all have one."""
     return exact_dedup.exact_dedup(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate component; ids may recur or be null."""
     return near_dedup.near_dedup(docs, percent=80)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, texts masked; null and empty texts stay as they are."""
     return pii.redact(docs, pii.learn(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path(), tokens=4096, with_ids=True)
+    """A row per piece; a null or empty text is a piece of the end id alone."""
+    return packing.pack(docs, tokenizer_path(), with_ids=True, **CAPACITIES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
