@@ -74,3 +74,38 @@ def test_all_accepted_patterns_count_when_they_are_many(spark, monkeypatch):
     redacted = pii.redact(df, many)
     assert redacted.columns == df.columns and sorted(map(str, redacted.collect())) == masked
     assert sum(r.n_found for r in pii.report(df, many).collect()) == len(names) and not any("QX" in m for m in masked)
+
+
+def test_promoted_identifiers_induce_patterns_of_their_own(spark):
+    logins = ["amber", "birch", "cedar", "dahlia", "elder", "fern"]
+    rows = [(i, f"note {i}: please reach user{i}@mail.example.org for help", 1) for i in range(12)]
+    rows += [(20 + i, f"please reach {w} for help", 1) for i, w in enumerate(logins)]  # no recogniser knows them
+    rows += [(40 + i, f"it was signed off by {w} today", 1) for i, w in enumerate([*logins, "ginkgo"])]
+    rows += [(60 + i, f"we walked off to see the {w} tree", 1) for i, w in enumerate(["oak", "ash", "yew"])]
+    rows += [(80, "mail (555) 0199 or so", 1), (None, None, 1), (81, "", 1), (82, "please reach", 1), (82, "please reach", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pattern int")
+    accepted = pii.learn(df)
+    got = {r.doc_id: r for r in pii.report(df, accepted).collect()}
+    assert all(got[20 + i].spans == f"email:13:{13 + len(w)}" for i, w in enumerate(logins))
+    assert got[46].spans == "email:21:27"  # found in the second round alone
+    assert all(got[i].n_spans == 0 for i in (60, 61, 62, 80, 81, 82, None))
+    first = pii.report(df, pii.learn(df, rounds=1)).where("doc_id = 46").first()
+    assert first.n_spans == 0
+
+
+def test_hidden_entities_are_found_back(spark):
+    rng = random.Random(4)
+    rows = [(i, f"{rng.choice('abcdefgh')} then {rng.choice('stuvw')} wrote {k} here", 1) for i in range(90) for k in [f"10.{i}.7.{rng.randint(1, 250)}" if i % 2 else f"+1 (0{i:02}) 555-77{i:02}"]]
+    rows += [(200, "version 3.1 of 2024", 1), (201, "5 of 17 pages", 1), (202, "999.1.2.3 is none", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    hidden = {k: sum(pii.hidden(t[a:b], 3) for _, t, _ in rows for a, b, kind in pii.base_spans(t) if kind == k) for k in ("ip", "phone")}
+    got = {r.kind: (r.hidden, r.found, r.wrong) for r in pii.found_back(df, 3).collect()}
+    assert min(hidden.values()) > 5 and got == {k: (n, n, 0) for k, n in hidden.items()}
+
+
+def test_shapes_and_places():
+    assert pii.shape("QX-778812-Z") == "a-9s-a" and pii.shape("+1 (017) 555-7713") == "+9 (9) 9-9" and pii.shape("a1b2c3d4e5f6") == "M+"
+    text = "Call +1 (017) 555-7713, or 12."
+    assert {text[a:b] for a, b in pii._marked(text)} >= {"+1 (017) 555-7713", "12", "017"}
+    assert pii.patterns_of("x" * 5000 + " my code: 77 end", 5010, 5012)[:2] == ["2|code :", "r|: end"]
+    assert pii.secret_spans("password = 'hunter2x' and sk-" + "a1" * 10) == [(12, 20, "secret"), (26, 49, "secret")]

@@ -1,28 +1,35 @@
 """Personal data: fixed recognisers, then bootstrapped contextual extraction.
 
-Entities that the recognisers find are seeds.  The words around them are lexical patterns; patterns
-and the identifier-like strings that occur with them form a graph, over which Spark scores both in
-turn: a pattern by the mean of its instances, an instance by the noisy-or of its patterns.  Patterns
-of high confidence, seen with enough different seeds, then mark identifiers that no recogniser knows.
-Texts never leave their rows; only mentions, a small part of them, are shuffled.
+What the recognisers find are seeds.  Each seed induces lexical patterns: the two words before it, the
+words on both sides, and its shape alone or after a word or a kind of word.  A pattern that enough
+seeds share is looked for in all texts; what stands in its place are its instances.  Patterns and
+instances form a graph, over which Spark scores both in turn: a pattern by the mean of its instances,
+an instance by the noisy-or of its other patterns.  Instances of high-confidence patterns are the seeds
+of the next round, which induces patterns around them.  Accepted patterns then mark identifiers that no
+recogniser knows.  Texts never leave their rows; patterns reach the workers in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fresh, map_batches, materialise
+from textloom.functions.text import SECRET_PATTERNS
+from textloom.llm.common import fresh, gather, map_batches, materialise, slices
 
 KINDS = ("email", "ip", "card", "phone")
-SEEDED = "secret"  # seeds of a fifth kind: long strings that mix letters and digits
-MAX_PATTERNS = 10_000  # accepted ones that are broadcast; more of them stay a table
-LEAST_SEEDS, LEAST_SCORE, ROUNDS, PRIOR = 5, 0.8, 4, 1.0
+SEEDED = "secret"  # a fifth kind: credentials after their names, and long strings that mix letters and digits
+MAX_PATTERNS = 100_000  # patterns, or values, that a worker holds at once; more are taken in blocks
+LEAST_SEEDS, LEAST_SCORE, LEAST_SHARE, ROUNDS, STEPS, PRIOR, DOUBT = 5, 0.8, 0.2, 3, 4, 1.0, 0.7
+SLOT = 4  # tokens of an instance
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -31,7 +38,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _SECRET = re.compile(r"(?=[A-Za-z0-9]*[0-9])(?=[A-Za-z0-9]*[A-Za-z])[A-Za-z0-9]{32,}")
-_EDGE = "\"'`,;:.!?()[]{}<>|*#%&$=/\\"
+_CREDENTIALS = [re.compile(p) for p in SECRET_PATTERNS]
+_HINTS = ("://", "sk-", "xai-", "claude-", "bearer", "api", "password", "secret")  # what a credential's text holds
+_EDGE = "`.!?*#%&$/\\"
+_TOKEN = re.compile(r"""[^\s"'=:,;<>()\[\]{}|]+|[=:]""")
+_MARKED = re.compile(r"""[^\s"'=:,;<>()\[\]{}|]*[0-9@][^\s"'=:,;<>()\[\]{}|]*""")
+_RUNS = re.compile(r"[^\W_]+|\s+")
 
 Span = tuple[int, int, str]
 Accepted = dict[str, tuple[str, float]] | DataFrame
@@ -73,133 +85,379 @@ def base_spans(text: str | None) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def _candidates(text: str) -> Iterator[tuple[int, int]]:
-    """White-space-free pieces with a digit, without the marks around them, six characters or longer."""
-    done = 0
-    for m in _DIGITS.finditer(text):
-        if m.start() < done:
-            continue
-        start, end = m.start(), m.end()
-        while start > done and not text[start - 1].isspace():
-            start -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        done = end
+def secret_spans(text: str) -> list[Span]:
+    """Credentials by their names or forms, and long strings that mix letters and digits; none overlap."""
+    out, end = [], -1
+    found = [m.span() for m in _SECRET.finditer(text)] if _DIGITS.search(text) else []
+    low = text.lower()
+    if any(h in low for h in _HINTS):
+        found += [m.span(2) if p.groups > 1 else m.span() for p in _CREDENTIALS for m in p.finditer(text)]
+    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
+        if a >= end and b > a:
+            out.append((a, b, SEEDED))
+            end = b
+    return out
+
+
+def _run_shape(m: re.Match) -> str:
+    w = m.group()
+    if w.isspace():
+        return " "
+    if w.isalpha():
+        return "a"
+    n = len(w)
+    if w.isdecimal():
+        return "9" if n < 5 else "9s" if n < 10 else "9m" if n < 14 else "9l" if n < 20 else "9x"
+    return "m" if n < 6 else "M" if n < 12 else "M+"
+
+
+def shape(value: str) -> str:
+    """Runs of letters, digits or both as classes of their length, everything else as it is."""
+    return _RUNS.sub(_run_shape, value)
+
+
+def _word(token: str) -> str:
+    """A context word: lower case, without marks around it; one with a digit is just a number."""
+    return "#" if _DIGITS.search(token) else token.lower().strip(_EDGE) or token
+
+
+def _around(text: str, start: int, end: int) -> tuple[list[str], str]:
+    """The two words before a span and the one after it; fewer at the ends of the text."""
+    left, width = [], 100
+    while True:  # the first token of a window may be cut
+        left = _TOKEN.findall(text, max(0, start - width), start)
+        if len(left) > 2 or width >= start:
+            break
+        width *= 4
+    right = _TOKEN.search(text, end)
+    return [_word(w) for w in left[-2:]], _word(right.group()) if right else ""
+
+
+def _kind_of_word(word: str) -> str:
+    return word if word in ("", "=", ":", "#") else "w"
+
+
+def patterns_of(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns in whose place a span stands; those of words alone come first."""
+    left, right = _around(text, start, end)
+    last, form = left[-1] if left else "", shape(text[start:end])
+    out = [f"2|{left[0]} {last}"] if len(left) == 2 else []
+    if last and right:
+        out.append(f"r|{last} {right}")
+    if form != "a" and not all(c in "a -" for c in form):
+        out += [f"w|{last}|{form}", f"k|{_kind_of_word(last)}|{form}", f"s|{form}"]
+    return out
+
+
+def _marked(text: str) -> Iterator[tuple[int, int]]:
+    """Places with a digit or @: tokens without the marks around them, and runs of up to SLOT neighbours."""
+    row: list[tuple[int, int]] = []
+    for m in _MARKED.finditer(text):
+        start, end = m.span()
         while start < end and text[start] in _EDGE:
             start += 1
         while end > start and text[end - 1] in _EDGE:
             end -= 1
-        if end - start >= 6:
-            yield start, end
-
-
-def _patterns(text: str, start: int, end: int) -> list[str]:
-    """What stands around a span: the two pieces before it, and one before with one after it."""
-    before, after = text[max(0, start - 80) : start], text[end : end + 40]
-    left = before.lower().split()
-    right = after.lower().split()
-    glue = "" if before[-1:].isspace() or not before else "_"
-    clean = lambda w: _DIGITS.sub("0", w)[:40]
-    out = []
-    if len(left) > 1 + bool(glue):
-        out.append("l " + clean(" ".join(left[-2 - bool(glue) :])) + glue)
-    if left and right:
-        out.append("lr " + clean(left[-1]) + glue + " | " + clean(right[0]))
-    return out
+        if row and (start - row[-1][1] > 3 or _TOKEN.search(text, row[-1][1], start)):
+            row = []
+        row = [*row[1 - SLOT :], (start, end)]
+        for first, _ in row:
+            yield first, end
+
+
+def _rejected(value: str) -> str | None:
+    """!kind for what has the form of a kind but fails its check."""
+    if any((a, b) == (0, len(value)) for a, b, _ in base_spans(value)):
+        return None
+    if _IP.fullmatch(value):
+        return "!ip"
+    if _CARD.fullmatch(value) and 14 <= len(value.replace(" ", "").replace("-", "")) <= 19:
+        return "!card"
+    return "!phone" if _PHONE.fullmatch(value) else None
+
+
+class Lexicon:
+    """Patterns as a worker looks for them: words before or around a place, and the rest."""
+
+    def __init__(self, patterns):
+        self.all = patterns
+        pair = lambda p: tuple(p[2:].split(" ", 1))
+        self.two = {pair(p) for p in patterns if p[0] == "2"}
+        self.around = {pair(p) for p in patterns if p[0] == "r"}
+
+    def plain(self, text: str) -> Iterator[tuple[int, int]]:
+        """Places of tokens without digit or @ that stand in a pattern of words alone."""
+        if not (self.two or self.around):
+            return
+        words = [w.strip(_EDGE) or w for w in _TOKEN.findall(text.lower())]
+        hit = self.two and not self.two.isdisjoint(zip(words, words[1:], strict=False))
+        hit = hit or self.around and any(not self.around.isdisjoint(zip(words, words[k:], strict=False)) for k in range(2, SLOT + 2))
+        if not hit:
+            return
+        places = [m.span() for m in _TOKEN.finditer(text)]
+        words = [_word(text[a:b]) for a, b in places]
+        for i in range(1, len(words)):
+            for j in range(i, min(i + SLOT, len(words))):
+                if words[j] in ("#", "=", ":") or "@" in words[j]:
+                    break
+                if (j == i and i > 1 and (words[i - 2], words[i - 1]) in self.two) or (j + 1 < len(words) and (words[i - 1], words[j + 1]) in self.around):
+                    start, end = places[i][0], places[j][1]
+                    while start < end and text[start] in _EDGE:
+                        start += 1
+                    while end > start and text[end - 1] in _EDGE:
+                        end -= 1
+                    if start < end:
+                        yield start, end
+
+    def of(self, text: str, start: int, end: int) -> list[str]:
+        """The lexicon's patterns at a place; two words before it say something of one token only."""
+        found = [p for p in patterns_of(text, start, end) if p in self.all]
+        return [p for p in found if p[0] != "2" or not _TOKEN.match(text, start) or _TOKEN.match(text, start).end() >= end]
+
+
+def seeds(text: str | None, holdout: int = 0) -> list[Span]:
+    """Base spans and secrets outside them; with a holdout, without those that hidden() names."""
+    if not text:
+        return []
+    base = base_spans(text)
+    out = base + _outside(secret_spans(text), base)
+    return [x for x in out if not (holdout and hidden(text[x[0] : x[1]], holdout))]
 
 
-def mentions(text: str | None) -> list[tuple[int, int, str | None, str, list[str]]]:
-    """Base and secret entities and other identifier-like strings: (start, end, kind, value, patterns)."""
-    base = base_spans(text)
-    out = [(s, e, k, text[s:e], _patterns(text, s, e)) for s, e, k in base]
-    last = 0
-    for s, e in _candidates(text or ""):
-        while last < len(base) and base[last][1] <= s:
-            last += 1
-        if not any(a < e and s < b for a, b, _ in base[last : last + 8]):
-            kind = SEEDED if _SECRET.fullmatch(text, s, e) else None
-            out.append((s, e, kind, text[s:e], _patterns(text, s, e)))
+def hidden(value: str, holdout: int) -> bool:
+    """Whether a value belongs to the share of 1 / holdout that is not a seed when recall is measured."""
+    return zlib.crc32(value.encode("utf-8", "replace")) % holdout == 0
+
+
+def _outside(spans: list[Span], taken: list[Span]) -> list[Span]:
+    """spans that overlap none of taken, both by start."""
+    out, k, far = [], 0, -1
+    for x in sorted(spans):
+        while k < len(taken) and taken[k][0] < x[1]:
+            far, k = max(far, taken[k][1]), k + 1
+        if far <= x[0]:
+            out.append(x)
     return out
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> Accepted:
-    """Accepted patterns -> (kind, confidence); beyond MAX_PATTERNS of them a table (pattern, of, conf)."""
+def _flat(rows: list[tuple], width: int) -> list[list]:
+    return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(width)]
+
+
+_EDGES = "pattern string, value string, kind string, n long"
+
+
+def _seed_edges(texts: DataFrame, holdout: int) -> DataFrame:
+    """Patterns around the seeds."""
+
+    def start():
+        def step(columns):
+            found = Counter((p, t[a:b], k) for t in columns[0] if t for a, b, k in seeds(t, holdout) for p in patterns_of(t, a, b))
+            return _flat([(*x, n) for x, n in found.items()], 4)
+
+        return step
+
+    return map_batches(texts, start, _EDGES)
+
+
+def _value_edges(texts: DataFrame, values: dict[str, str]) -> DataFrame:
+    """Patterns around the places where given values stand."""
+    sent = texts.sparkSession.sparkContext.broadcast(values)
+    heads = texts.sparkSession.sparkContext.broadcast({_TOKEN.search(v).group().lower().strip(_EDGE) for v in values if _TOKEN.search(v)})
+
+    def start():
+        def step(columns):
+            found = Counter()
+            for t in columns[0]:
+                if not t or heads.value.isdisjoint(w.strip(_EDGE) for w in _TOKEN.findall(t.lower())):
+                    continue
+                places = [m.span() for m in _TOKEN.finditer(t)]
+                inside = ((a, b) for i, (a, _) in enumerate(places) for _, b in places[i : i + SLOT])
+                for a, b in set(chain(_marked(t), inside)):
+                    kind = sent.value.get(t[a:b])
+                    if kind:
+                        found.update((p, t[a:b], kind) for p in patterns_of(t, a, b))
+            return _flat([(*x, n) for x, n in found.items()], 4)
+
+        return step
+
+    return map_batches(texts, start, _EDGES)
+
+
+def _instance_edges(texts: DataFrame, patterns: list[str], holdout: int, plain: bool) -> DataFrame:
+    """What stands in the place of given patterns: values with a digit or @, of other words their number, or
+    (plain) those words themselves."""
+    sent = texts.sparkSession.sparkContext.broadcast(frozenset(patterns))
 
     def start():
+        lexicon = Lexicon(sent.value)
+
         def step(columns):
-            out = [[], [], []]
+            found = Counter()
             for t in columns[0]:
-                for _, _, kind, value, patterns in mentions(t) if t else ():
-                    for p in patterns:
-                        for column, x in zip(out, (p, value, kind), strict=True):
-                            column.append(x)
-            return out
+                if not t:
+                    continue
+                known = sorted(seeds(t, holdout))
+                if plain:
+                    free = _outside([(a, b, "") for a, b in lexicon.plain(t)], known)
+                    found.update((p, t[a:b], None) for a, b, _ in free for p in lexicon.of(t, a, b))
+                    continue
+                found.update((p, t[a:b], k) for a, b, k in known for p in lexicon.of(t, a, b))
+                free = _outside([(a, b, "") for a, b in _marked(t)], known)
+                found.update((p, t[a:b], _rejected(t[a:b])) for a, b, _ in free for p in lexicon.of(t, a, b))
+                free = _outside([(a, b, "") for a, b in lexicon.plain(t)], known)
+                found.update((p, None, None) for a, b, _ in free for p in lexicon.of(t, a, b))
+            return _flat([(*x, n) for x, n in found.items()], 4)
 
         return step
 
-    found = map_batches(docs.select(F.col(text_col)), start, "pattern string, value string, kind string")
-    # copies of a text add nothing: an edge counts once
-    edges = materialise(found.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "mentions")
-    seeds = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS)
-    # one kind a pattern: that of most of its seeds
-    most = Window.partitionBy("pattern").orderBy(F.desc("seeds"), "kind")
-    kept = materialise(seeds.withColumn("nr", F.row_number().over(most)).where("nr = 1").select("pattern", F.col("kind").alias("of"), "seeds"), "patterns")
-    graph = materialise(edges.join(kept, "pattern").select("pattern", "of", "value", (F.col("kind") == F.col("of")).alias("seed"), F.col("kind").alias("known")), "graph")
-    known = F.when(F.col("seed"), 1.0).when(F.col("known").isNotNull(), 0.0)
-    values = graph.select("value", "of", known.alias("score")).groupBy("value", "of").agg(F.max("score").alias("fixed"))
-    instances = values.withColumn("score", F.coalesce("fixed", F.lit(0.0)))
+    return map_batches(texts, start, _EDGES)
+
+
+def _blocks(rows: DataFrame, by: str) -> Iterator[list]:
+    """The rows in blocks of about MAX_PATTERNS, each on the driver in turn."""
+    parts = -(-rows.count() // MAX_PATTERNS)
+    for k in range(parts):
+        yield rows.where(F.pmod(F.xxhash64(by), F.lit(parts)) == k).collect()
+
+
+def _merged(tables: list[DataFrame], name: str) -> DataFrame | None:
+    """Edge tables as one, an edge once; None if there are none."""
+    if not tables:
+        return None
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    return materialise(gather(every.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.sum("n").alias("n"))), name)
+
+
+def _scored(graph: DataFrame) -> DataFrame:
+    """(pattern, of, conf) from graph (pattern, of, value, fixed): fixed is 1 for a seed of the pattern's kind, 0
+    for what is known to be something else, null for the rest."""
+    scores = graph.select("pattern", "of", "value", "fixed", F.coalesce("fixed", F.lit(0.0)).alias("score"))
+    for _ in range(STEPS):
+        sums = scores.groupBy("pattern", "of").agg(F.sum("score").alias("total"), F.count("*").alias("m"))
+        # what a pattern says of an instance is the mean of its other instances
+        seen = scores.join(sums, ["pattern", "of"]).withColumn("says", (F.col("total") - F.col("score")) / (F.col("m") - 1 + PRIOR))
+        votes = seen.groupBy("value", "of").agg(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("says")))).alias("doubt"))
+        scores = materialise(graph.join(votes, ["value", "of"]).select("pattern", "of", "value", "fixed", F.coalesce("fixed", DOUBT * (1 - F.exp("doubt"))).alias("score")), "scores")
+    return scores.groupBy("pattern", "of").agg((F.sum("score") / (F.count("*") + PRIOR)).alias("conf"))
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, holdout: int = 0) -> Accepted:
+    """Accepted patterns -> (kind, confidence); beyond MAX_PATTERNS of them a table (pattern, of, conf).
+
+    A pattern needs LEAST_SEEDS different seeds, of all that stands in its place LEAST_SHARE must be
+    seeds at first, and in the end its confidence must reach LEAST_SCORE.  Rounds end when nothing
+    new is promoted.  Null and empty texts say nothing, repeated rows no more than one, and an empty
+    table gives no patterns.  With a holdout, that share of the seeds is hidden, to be found back.
+    """
+    spark, texts = docs.sparkSession, docs.select(F.col(text_col)).where(F.col(text_col).isNotNull())
+    seen_edges = [_merged([_seed_edges(texts, holdout)], "seed-edges")]
+    promoted = spark.createDataFrame([], "value string, of string")
+    tried = spark.createDataFrame([], "pattern string")
+    instances: list[DataFrame] = []
+    accepted, last = None, 0
     for _ in range(rounds):
-        patterns = graph.join(instances.select("value", "of", "score"), ["value", "of"]).groupBy("pattern", "of").agg((F.sum("score") / (F.count("*") + PRIOR)).alias("conf"))
-        patterns = materialise(patterns, "scores")
-        # a pattern's instances are worth what the pattern, less itself, says
-        doubt = graph.join(patterns, ["pattern", "of"]).groupBy("value", "of").agg(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("conf")))).alias("doubt"))
-        instances = materialise(values.join(doubt, ["value", "of"]).select("value", "of", "fixed", F.coalesce("fixed", 1 - F.exp("doubt")).alias("score")), "scores")
-    final = graph.join(instances.select("value", "of", "score"), ["value", "of"]).groupBy("pattern", "of").agg((F.sum("score") / (F.count("*") + PRIOR)).alias("conf"))
-    best = materialise(final.where(F.col("conf") >= LEAST_SCORE), "accepted")
-    if best.count() > MAX_PATTERNS:
-        return best
-    return {r[0]: (r[1], r[2]) for r in best.collect()}
-
-
-def _lookup(docs: DataFrame, accepted: Accepted, text_col: str) -> tuple[DataFrame, Callable[[list], list[dict]]]:
+        around = _merged(seen_edges, "edges")
+        votes = around.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"), F.sum("n").alias("n"))
+        most = Window.partitionBy("pattern").orderBy(F.desc("seeds"), "kind")  # one kind a pattern
+        kept = votes.where(F.col("seeds") >= LEAST_SEEDS).withColumn("nr", F.row_number().over(most)).where("nr = 1")
+        kept = materialise(gather(kept.select("pattern", F.col("kind").alias("of"), "n")), "patterns")
+        new = materialise(gather(kept.select("pattern").join(tried, "pattern", "left_anti")), "new-patterns")
+        for block in _blocks(new, "pattern"):
+            found = _merged([_instance_edges(texts, [r[0] for r in block], holdout, plain=False)], "instances")
+            instances.append(found.where("value is not null"))
+            # patterns of words alone that mostly hold other words go before those are listed
+            words = found.where("value is null").select("pattern", F.col("n").alias("others"))
+            fair = words.join(kept, "pattern").where(F.col("n") >= LEAST_SHARE * (F.col("n") + F.col("others"))).select("pattern")
+            for some in _blocks(materialise(gather(fair), "fair"), "pattern"):
+                instances.append(_merged([_instance_edges(texts, [r[0] for r in some], holdout, plain=True)], "words"))
+            poor = words.select("pattern").join(fair, "pattern", "left_anti").select("pattern", F.lit(None).cast("string").alias("value"), F.lit("!").alias("kind"), F.lit(0).cast("long").alias("n"))
+            instances.append(materialise(gather(poor), "poor"))
+        tried = kept.select("pattern").unionByName(tried).distinct()
+        every = _merged(instances, "graph-edges") if instances else None
+        if every is None:
+            break
+        usable = kept.join(every.where("kind = '!'").select("pattern"), "pattern", "left_anti")
+        graph = every.where("value is not null").join(usable.select("pattern", "of"), "pattern").join(promoted.select("value", F.col("of").alias("now")), "value", "left")
+        known = F.coalesce("kind", "now")
+        graph = materialise(graph.select("pattern", "of", "value", F.when(known == F.col("of"), 1.0).when(known.isNotNull(), 0.0).alias("fixed"), (F.col("kind").isNull()).alias("unknown")), "graph")
+        accepted = materialise(_scored(graph).where(F.col("conf") >= LEAST_SCORE), "accepted")
+        best = Window.partitionBy("value").orderBy(F.desc("conf"), "of", "pattern")
+        fresh_values = graph.where("unknown").join(accepted, ["pattern", "of"]).withColumn("nr", F.row_number().over(best)).where("nr = 1").select("value", "of")
+        promoted, before = materialise(gather(fresh_values), "promoted"), promoted
+        count = promoted.count()
+        if count <= last:
+            break
+        for block in _blocks(promoted.join(before, "value", "left_anti"), "value"):
+            seen_edges.append(materialise(_value_edges(texts, {r[0]: r[1] for r in block}), "value-edges"))
+        last = count
+    if accepted is None:
+        return {}
+    if accepted.count() > MAX_PATTERNS:
+        return accepted
+    return {r[0]: (r[1], r[2]) for r in accepted.select("pattern", "of", "conf").collect()}
+
+
+def _lookup(docs: DataFrame, accepted: Accepted, text_col: str) -> tuple[DataFrame, Callable[[list], list[Lexicon]]]:
     """docs with the accepted patterns of each text as a last column, or null where all are broadcast, and what
-    makes a dict for each row of that column."""
+    makes a lexicon for each row of that column."""
     name = fresh(docs, "accepted")
     if isinstance(accepted, dict):
-        sent = docs.sparkSession.sparkContext.broadcast(accepted)
-        return docs.withColumn(name, F.lit(None).cast("array<struct<pattern:string,of:string,conf:double>>")), lambda column: [sent.value] * len(column)
+        sent, kept = docs.sparkSession.sparkContext.broadcast(accepted), []
+
+        def shared(column: list) -> list[Lexicon]:
+            if not kept:
+                kept.append(Lexicon(sent.value))
+            return kept * len(column)
+
+        return docs.withColumn(name, F.lit(None).cast("array<struct<pattern:string,of:string,conf:double>>")), shared
 
     def start():
         def step(columns):
-            out = [[], []]
+            rows = []
             for key, t in zip(*columns, strict=True):
-                for p in {p for _, _, kind, _, patterns in mentions(t) if kind is None for p in patterns} if t else ():
-                    out[0].append(key)
-                    out[1].append(p)
-            return out
+                if t:
+                    words = [_word(w) for w in _TOKEN.findall(t)]
+                    every = {f"2|{a} {b}" for a, b in zip(words, words[1:], strict=False)}
+                    every |= {f"r|{a} {b}" for k in range(2, SLOT + 2) for a, b in zip(words, words[k:], strict=False)}
+                    every |= {p for a, b in _marked(t) for p in patterns_of(t, a, b)}
+                    rows += [(key, p) for p in every]
+            return _flat(rows, 2)
 
         return step
 
     # by the text: ids may be missing or shared
     key = fresh(docs, "key")
     sha = F.sha2(F.col(text_col), 256)
-    used = materialise(map_batches(docs.select(sha, F.col(text_col)), start, "key string, pattern string").distinct(), "used")
+    used = map_batches(docs.select(sha, F.col(text_col)), start, "key string, pattern string").distinct()
     own = used.join(accepted, "pattern").groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("pattern", "of", "conf")).alias(name))
-    joined = docs.withColumn(key, sha).join(own, key, "left").select(*docs.columns, name)
-    return joined, lambda column: [{x["pattern"]: (x["of"], x["conf"]) for x in found or ()} for found in column]
-
-
-def all_spans(text: str | None, accepted: dict[str, tuple[str, float]]) -> list[Span]:
-    """Base spans and what accepted patterns and secret seeds mark outside them."""
-    out: list[Span] = []
-    for s, e, kind, _, patterns in mentions(text) if text else ():
-        if kind is None:
-            votes = [accepted[p] for p in patterns if p in accepted]
-            kind = max(votes, key=lambda v: (v[1], v[0]))[0] if votes else None
-        if kind is not None:
-            out.append((s, e, kind))
+    joined = docs.withColumn(key, sha).join(materialise(own, "used"), key, "left").select(*docs.columns, name)
+    return joined, lambda column: [Lexicon({x["pattern"]: (x["of"], x["conf"]) for x in found or ()}) for found in column]
+
+
+def all_spans(text: str | None, accepted: Lexicon | dict, holdout: int = 0) -> list[Span]:
+    """Base spans, secrets and what accepted patterns mark outside them: of overlapping places the surest, then
+    the longest."""
+    if not text:
+        return []
+    lexicon = accepted if isinstance(accepted, Lexicon) else Lexicon(accepted)
+    known = sorted(seeds(text, holdout))
     order = {k: i for i, k in enumerate((*KINDS, SEEDED))}
-    return sorted(set(out), key=lambda s: (s[0], order[s[2]], s[1]))
+    found = []
+    if lexicon.all:
+        places = _outside([(a, b, "") for a, b in {*_marked(text), *lexicon.plain(text)}], known)
+        for a, b, _ in places:
+            votes = [lexicon.all[p] for p in lexicon.of(text, a, b)]
+            if votes and _rejected(text[a:b]) is None:
+                kind, conf = max(votes, key=lambda v: (v[1], v[0]))
+                found.append((-conf, a - b, a, b, kind))
+    taken: list[Span] = []
+    for _, _, a, b, kind in sorted(found):
+        if all(b <= x or y <= a for x, y, _ in taken):
+            taken.append((a, b, kind))
+    return sorted({*known, *taken}, key=lambda s: (s[0], order[s[2]], s[1]))
 
 
 def _joined(spans: list[Span]) -> str:
@@ -207,9 +465,9 @@ def _joined(spans: list[Span]) -> str:
 
 
 def report(docs: DataFrame, accepted: Accepted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found.
+    """One row per input row: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found, n_spans.
 
-    n_found counts spans that are not base ones.  A null or empty text has no spans (base_sha256 of
+    n_found counts spans that are not base ones, n_spans all.  A null or empty text has no spans (base_sha256 of
     the empty string).  Repeated rows are reported alike; an empty table gives no rows; other
     columns are not read.
     """
@@ -222,11 +480,11 @@ def report(docs: DataFrame, accepted: Accepted, id_col: str = "doc_id", text_col
             every = [all_spans(t, a) for t, a in zip(texts, patterns(found), strict=True)]
             counts = [[sum(k == kind for _, _, k in b) for b in base] for kind in KINDS]
             digest = [hashlib.sha256(_joined(b).encode()).hexdigest() for b in base]
-            return [ids, *counts, digest, [_joined(s) for s in every], [len(s) - len(b) for s, b in zip(every, base, strict=True)]]
+            return [ids, *counts, digest, [_joined(s) for s in every], [len(s) - len(b) for s, b in zip(every, base, strict=True)], list(map(len, every))]
 
         return step
 
-    schema = f"`{id_col}` long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_found long"
+    schema = f"`{id_col}` long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_found long, n_spans long"
     return map_batches(rows, start, schema)
 
 
@@ -245,13 +503,17 @@ def mask(text: str | None, spans: list[Span]) -> str | None:
 
 
 def redact(docs: DataFrame, accepted: Accepted, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with spans masked in text_col, and length_col, where there is one, set to match."""
+    """docs with spans masked in text_col, and length_col, where there is one, set to match.
+
+    Null and empty texts and those without spans stay as they are; repeated rows are masked alike;
+    an empty table gives no rows.
+    """
     rows, patterns = _lookup(docs, accepted, text_col)
     names = docs.columns
     place, size = names.index(text_col), names.index(length_col) if length_col in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             old = batch.column(place).to_pylist()
             found = patterns(batch.column(len(names)).to_pylist())
             new = [mask(t, all_spans(t, a)) for t, a in zip(old, found, strict=True)]
@@ -263,3 +525,28 @@ def redact(docs: DataFrame, accepted: Accepted, text_col: str = "text", length_c
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[: len(names)]))
 
     return rows.mapInArrow(run, docs.schema)
+
+
+def found_back(docs: DataFrame, holdout: int, text_col: str = "text") -> DataFrame:
+    """What patterns learned without a share of the seeds find of it: kind, hidden, found, wrong.
+
+    hidden counts the places of base entities and secrets whose value is hidden, found those that a
+    pattern marks with their bounds and kind, wrong the marked places that are no entity at all.
+    """
+    rows, patterns = _lookup(docs.select(F.col(text_col)), learn(docs, text_col=text_col, holdout=holdout), text_col)
+
+    def start():
+        def step(columns):
+            found = Counter()
+            for t, lexicon in zip(columns[0], patterns(columns[1]), strict=True):
+                every = set(seeds(t))
+                kept = set(seeds(t, holdout))
+                new = set(all_spans(t, lexicon, holdout)) - kept
+                found.update((k, "hidden") for _, _, k in every - kept)
+                found.update((k, "found" if (a, b, k) in every else "wrong") for a, b, k in new)
+            return _flat([(*x, n) for x, n in found.items()], 3)
+
+        return step
+
+    counts = map_batches(rows, start, "kind string, what string, n long")
+    return counts.groupBy("kind").pivot("what", ["hidden", "found", "wrong"]).agg(F.sum("n")).na.fill(0)
