@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import SECRET_PATTERNS
-from textloom.llm.common import fresh, gather, map_batches, materialise, slices
+from textloom.llm.common import fresh, gather, in_worker, map_batches, materialise, slices
 
 KINDS = ("email", "ip", "card", "phone")
 SEEDED = "secret"  # a fifth kind: credentials after their names, and long strings that mix letters and digits
 MAX_PATTERNS = 100_000  # patterns, or values, that a worker holds at once; more are taken in blocks
 LEAST_SEEDS, LEAST_SCORE, LEAST_SHARE, ROUNDS, STEPS, PRIOR, DOUBT = 5, 0.8, 0.2, 3, 4, 1.0, 0.7
 SLOT = 4  # tokens of an instance
+PLAIN = 2  # tokens of an instance without digit or @
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,12 +38,13 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
-_SECRET = re.compile(r"(?=[A-Za-z0-9]*[0-9])(?=[A-Za-z0-9]*[A-Za-z])[A-Za-z0-9]{32,}")
+_SECRET = re.compile(r"[A-Za-z0-9]{32,}")
 _CREDENTIALS = [re.compile(p) for p in SECRET_PATTERNS]
 _HINTS = ("://", "sk-", "xai-", "claude-", "bearer", "api", "password", "secret")  # what a credential's text holds
 _EDGE = "`.!?*#%&$/\\"
 _TOKEN = re.compile(r"""[^\s"'=:,;<>()\[\]{}|]+|[=:]""")
-_MARKED = re.compile(r"""[^\s"'=:,;<>()\[\]{}|]*[0-9@][^\s"'=:,;<>()\[\]{}|]*""")
+_BREAKS = frozenset("\"'=:,;<>()[]{}|")
+_ANY = re.compile("[0-9@]")
 _RUNS = re.compile(r"[^\W_]+|\s+")
 
 Span = tuple[int, int, str]
@@ -88,7 +90,7 @@ def base_spans(text: str | None) -> list[Span]:
 def secret_spans(text: str) -> list[Span]:
     """Credentials by their names or forms, and long strings that mix letters and digits; none overlap."""
     out, end = [], -1
-    found = [m.span() for m in _SECRET.finditer(text)] if _DIGITS.search(text) else []
+    found = [m.span() for m in _SECRET.finditer(text) if not (m.group().isalpha() or m.group().isdecimal())] if _DIGITS.search(text) else []
     low = text.lower()
     if any(h in low for h in _HINTS):
         found += [m.span(2) if p.groups > 1 else m.span() for p in _CREDENTIALS for m in p.finditer(text)]
@@ -141,8 +143,8 @@ def patterns_of(text: str, start: int, end: int) -> list[str]:
     """The lexical patterns in whose place a span stands; those of words alone come first."""
     left, right = _around(text, start, end)
     last, form = left[-1] if left else "", shape(text[start:end])
-    out = [f"2|{left[0]} {last}"] if len(left) == 2 else []
-    if last and right:
+    out = [f"2|{left[0]} {last}"] if len(left) == 2 and "#" not in left else []
+    if last and right and "#" not in (last, right):
         out.append(f"r|{last} {right}")
     if form != "a" and not all(c in "a -" for c in form):
         out += [f"w|{last}|{form}", f"k|{_kind_of_word(last)}|{form}", f"s|{form}"]
@@ -152,8 +154,14 @@ def patterns_of(text: str, start: int, end: int) -> list[str]:
 def _marked(text: str) -> Iterator[tuple[int, int]]:
     """Places with a digit or @: tokens without the marks around them, and runs of up to SLOT neighbours."""
     row: list[tuple[int, int]] = []
-    for m in _MARKED.finditer(text):
-        start, end = m.span()
+    done = 0
+    for m in _ANY.finditer(text):
+        start = m.start()
+        if start < done:
+            continue
+        end = done = _TOKEN.match(text, start).end()
+        while start and text[start - 1] not in _BREAKS and not text[start - 1].isspace():
+            start -= 1
         while start < end and text[start] in _EDGE:
             start += 1
         while end > start and text[end - 1] in _EDGE:
@@ -182,32 +190,53 @@ class Lexicon:
     def __init__(self, patterns):
         self.all = patterns
         pair = lambda p: tuple(p[2:].split(" ", 1))
-        self.two = {pair(p) for p in patterns if p[0] == "2"}
-        self.around = {pair(p) for p in patterns if p[0] == "r"}
+        self.two = frozenset(pair(p) for p in patterns if p[0] == "2")
+        self.around = frozenset(pair(p) for p in patterns if p[0] == "r")
+        self.pairs = [*self.two, *self.around]
+
+    def _words(self, text: str) -> list[str] | None:
+        """The words of a text in which a pattern of words alone may stand."""
+        if not self.pairs:
+            return None
+        low = text.lower()
+        if len(self.pairs) <= 200 and not any(a in low and b in low for a, b in self.pairs):
+            return None
+        return [w.strip(_EDGE) or w for w in _TOKEN.findall(low)]
+
+    def places(self, words: list[str]) -> list[tuple[int, int, str]]:
+        """(first word, last word, pattern) of places of plain words in patterns of words alone."""
+        out = []
+        if self.two:
+            two = self.two
+            out += [(i + 2, i + 2, f"2|{x[0]} {x[1]}") for i, x in enumerate(zip(words, words[1:], strict=False)) if x in two and i + 2 < len(words)]
+        if self.around:
+            around = self.around
+            for n in range(1, PLAIN + 1):
+                out += [(i + 1, i + n, f"r|{x[0]} {x[1]}") for i, x in enumerate(zip(words, words[n + 1 :], strict=False)) if x in around]
+        return [x for x in out if not any(w in "=:" or _ANY.search(w) for w in words[x[0] : x[1] + 1])]
+
+    def counts(self, text: str) -> list[str]:
+        """The patterns of words alone, once for every place of plain words."""
+        words = self._words(text)
+        return [p for _, _, p in self.places(words)] if words else []
 
     def plain(self, text: str) -> Iterator[tuple[int, int]]:
-        """Places of tokens without digit or @ that stand in a pattern of words alone."""
-        if not (self.two or self.around):
+        """Places of plain words that stand in a pattern of words alone."""
+        words = self._words(text)
+        found = {x[:2] for x in self.places(words)} if words else ()
+        if not found:
             return
-        words = [w.strip(_EDGE) or w for w in _TOKEN.findall(text.lower())]
-        hit = self.two and not self.two.isdisjoint(zip(words, words[1:], strict=False))
-        hit = hit or self.around and any(not self.around.isdisjoint(zip(words, words[k:], strict=False)) for k in range(2, SLOT + 2))
-        if not hit:
+        spans = [m.span() for m in _TOKEN.finditer(text)]
+        if len(spans) != len(words):  # lower case has other characters
             return
-        places = [m.span() for m in _TOKEN.finditer(text)]
-        words = [_word(text[a:b]) for a, b in places]
-        for i in range(1, len(words)):
-            for j in range(i, min(i + SLOT, len(words))):
-                if words[j] in ("#", "=", ":") or "@" in words[j]:
-                    break
-                if (j == i and i > 1 and (words[i - 2], words[i - 1]) in self.two) or (j + 1 < len(words) and (words[i - 1], words[j + 1]) in self.around):
-                    start, end = places[i][0], places[j][1]
-                    while start < end and text[start] in _EDGE:
-                        start += 1
-                    while end > start and text[end - 1] in _EDGE:
-                        end -= 1
-                    if start < end:
-                        yield start, end
+        for i, j in found:
+            start, end = spans[i][0], spans[j][1]
+            while start < end and text[start] in _EDGE:
+                start += 1
+            while end > start and text[end - 1] in _EDGE:
+                end -= 1
+            if start < end:
+                yield start, end
 
     def of(self, text: str, start: int, end: int) -> list[str]:
         """The lexicon's patterns at a place; two words before it say something of one token only."""
@@ -263,17 +292,17 @@ def _seed_edges(texts: DataFrame, holdout: int) -> DataFrame:
 def _value_edges(texts: DataFrame, values: dict[str, str]) -> DataFrame:
     """Patterns around the places where given values stand."""
     sent = texts.sparkSession.sparkContext.broadcast(values)
-    heads = texts.sparkSession.sparkContext.broadcast({_TOKEN.search(v).group().lower().strip(_EDGE) for v in values if _TOKEN.search(v)})
 
     def start():
+        heads = {_TOKEN.search(v).group() for v in sent.value if not _ANY.search(v)}  # of values of plain words
+
         def step(columns):
             found = Counter()
             for t in columns[0]:
-                if not t or heads.value.isdisjoint(w.strip(_EDGE) for w in _TOKEN.findall(t.lower())):
-                    continue
-                places = [m.span() for m in _TOKEN.finditer(t)]
-                inside = ((a, b) for i, (a, _) in enumerate(places) for _, b in places[i : i + SLOT])
-                for a, b in set(chain(_marked(t), inside)):
+                places = [m.span() for m in _TOKEN.finditer(t)] if t and heads else []
+                inside = ((a, b) for i, (a, e) in enumerate(places) if t[a:e].strip(_EDGE) in heads for _, b in places[i : i + PLAIN])
+                trimmed = ((a, b - len(t[a:b]) + len(t[a:b].rstrip(_EDGE))) for a, b in inside)
+                for a, b in set(chain(_marked(t or ""), trimmed)):
                     kind = sent.value.get(t[a:b])
                     if kind:
                         found.update((p, t[a:b], kind) for p in patterns_of(t, a, b))
@@ -305,8 +334,7 @@ def _instance_edges(texts: DataFrame, patterns: list[str], holdout: int, plain:
                 found.update((p, t[a:b], k) for a, b, k in known for p in lexicon.of(t, a, b))
                 free = _outside([(a, b, "") for a, b in _marked(t)], known)
                 found.update((p, t[a:b], _rejected(t[a:b])) for a, b, _ in free for p in lexicon.of(t, a, b))
-                free = _outside([(a, b, "") for a, b in lexicon.plain(t)], known)
-                found.update((p, None, None) for a, b, _ in free for p in lexicon.of(t, a, b))
+                found.update((p, None, None) for p in lexicon.counts(t))
             return _flat([(*x, n) for x, n in found.items()], 4)
 
         return step
@@ -524,7 +552,7 @@ def redact(docs: DataFrame, accepted: Accepted, text_col: str = "text", length_c
                 columns[size] = pa.array(n, type=columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[: len(names)]))
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(in_worker(run), docs.schema)
 
 
 def found_back(docs: DataFrame, holdout: int, text_col: str = "text") -> DataFrame:
