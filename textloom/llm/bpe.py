@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import map_batches
+from textloom.llm.common import KEPT, map_batches
 
 WORD_CACHE = 600_000
 MAX_FILE_MB = 64
@@ -139,6 +139,7 @@ class Remembered(dict):
 #: Maximal pieces without a White_Space character, at which the pre-tokens end anyway.
 _PIECES = re.compile("[^ \\t\\n\\r\\f\\v\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+").findall
 _SHARED: dict[str, Encoder] = {}
+KEPT["encoder"] = _SHARED.clear
 
 
 def shared_encoder(key: str, spec: dict) -> Encoder:
@@ -171,4 +172,4 @@ def bpe_digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         return step
 
     schema = f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), start, schema)
+    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), start, schema, keep="encoder")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from textloom.storage import materialise
 
-__all__ = ["fresh", "gather", "map_batches", "materialise", "row_key", "slices", "table", "unique_ids"]
+__all__ = ["KEPT", "fresh", "gather", "in_worker", "map_batches", "materialise", "row_key", "slices", "table", "unique_ids"]
 
 
 SLICE = 1024  # rows that are Python objects at a time
@@ -23,6 +24,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What workers keep between tasks, by name: called to let it go.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def in_worker(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: str = "") -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow: tasks of one worker hand back the memory that the next one has no use for."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _let_go(keep)
+        yield from run(batches)
+        _trim()
+
+    return task
+
+
+def _let_go(keep: str) -> None:
+    for name, drop in KEPT.items():
+        if name != keep:
+            drop()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 def gather(df: DataFrame) -> DataFrame:
     """df dealt anew, so that what is written next has files of the session's advisory size, not one a task."""
     return df.hint("rebalance")
@@ -41,11 +70,11 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE, most: int = SLI
                 yield part
 
 
-def map_batches(df: DataFrame, start: Callable[[], Callable[[list[list]], list[list]]], schema: str, rows: int = SLICE) -> DataFrame:
+def map_batches(df: DataFrame, start: Callable[[], Callable[[list[list]], list[list]]], schema: str, rows: int = SLICE, keep: str = "") -> DataFrame:
     """Rows through Python in Arrow batches.
 
     start() runs once a task and returns a function from the lists of the input's columns to the
-    lists of the output's columns.
+    lists of the output's columns.  keep names what it uses of KEPT.
     """
     kinds = [f.type for f in to_arrow_schema(T.StructType.fromDDL(schema))]
     names = T.StructType.fromDDL(schema).names
@@ -55,9 +84,8 @@ def map_batches(df: DataFrame, start: Callable[[], Callable[[list[list]], list[l
         for batch in slices(batches, rows):
             out = step([c.to_pylist() for c in batch.columns])
             yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(out, kinds, strict=True)], names=names)
-        pa.default_memory_pool().release_unused()  # workers live on after a task
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(in_worker(run, keep), schema)
 
 
 def fresh(df: DataFrame, base: str) -> str:

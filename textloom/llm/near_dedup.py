@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import minhash as M
-from textloom.llm.common import fresh, gather, map_batches, materialise, row_key, slices, unique_ids
+from textloom.llm.common import fresh, gather, in_worker, map_batches, materialise, row_key, slices, unique_ids
 from textloom.llm.components import components
 
 BLOCK = 256  # members of a bucket that one task compares with as many
@@ -75,7 +75,7 @@ def _verify(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             good = [M.similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long").distinct()
+    return pairs.mapInArrow(in_worker(run), "a long, b long").distinct()
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -153,7 +153,7 @@ def _rest(open_rows: DataFrame, percent: int) -> DataFrame:
                 rows.append((side[k], ids[k], label[k], n[k], np.frombuffer(sh.as_py(), np.uint32)))
         yield out()
 
-    return together.mapInArrow(run, "a long, b long").distinct()
+    return together.mapInArrow(in_worker(run), "a long, b long").distinct()
 
 
 def _narrow(sets: DataFrame) -> DataFrame:

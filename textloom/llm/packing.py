@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import load_tokenizer, shared_encoder
-from textloom.llm.common import map_batches, materialise
+from textloom.llm.common import in_worker, map_batches, materialise
 
 GROUP = 20_000  # pieces that are ranked together
 
@@ -98,7 +98,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, tokens: int, end_id: int = 1,
         return step
 
     schema = f"`{id_col}` long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), start, schema)
+    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), start, schema, keep="encoder")
 
 
 def assign_bins(pieces: DataFrame, plan: np.ndarray, id_col: str = "doc_id") -> DataFrame:
@@ -132,7 +132,7 @@ def assign_bins(pieces: DataFrame, plan: np.ndarray, id_col: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *placed], names=[*batch.schema.names[:-2], "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    return ranked.select(*pieces.columns, F.col("length").alias("__length"), F.col("rank").cast("long")).mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return ranked.select(*pieces.columns, F.col("length").alias("__length"), F.col("rank").cast("long")).mapInArrow(in_worker(run, "encoder"), f"{kinds}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, tokens: int = 4096, documents: int | None = None, cost: int | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), score: str = "norm", end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from textloom.llm.common import fresh, map_batches, materialise, slices
+from textloom.llm.common import fresh, in_worker, map_batches, materialise, slices
 from textloom.llm.minhash import mix
 
 BUCKETS = 1 << 15
@@ -86,7 +86,7 @@ def _counts(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]
     half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)) == 0
     good = sample.where((F.col("y") == 1) & half).select("id", F.lit(True).alias("good"))
     rows = docs.join(F.broadcast(good), "id", "left").select("text", "good")  # at most MAX_LABELLED ids
-    sums = rows.mapInArrow(run, "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target"), F.sum("raw"))
+    sums = rows.mapInArrow(in_worker(run), "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target"), F.sum("raw"))
     target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for b, t, r in sums.collect():  # BUCKETS rows
         target[b], raw[b] = t, r
@@ -197,7 +197,6 @@ def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             noise = gumbel(batch.column(place[0]).to_pylist(), seed)
             keys = pa.array([None if w is None else w + x for w, x in zip(found, noise.tolist(), strict=True)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, key])
-        pa.default_memory_pool().release_unused()
 
-    keyed = materialise(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(key, DoubleType())])), "keyed")
+    keyed = materialise(docs.mapInArrow(in_worker(run), StructType([*docs.schema.fields, StructField(key, DoubleType())])), "keyed")
     return keyed.where(_taken(keyed, id_col, key, model, k)).drop(key)
