@@ -2,7 +2,7 @@
 
 Every word is a position, every language a label.  A word's features are its affixes, its character
 n-grams and its entries in lexicons learned per language; transitions are learned on sequences that
-join windows of one to three texts.  Forward-backward gives each word's probabilities, and a text's
+join parts of one to three texts, the parts of a sampled text making up the whole of it.  Forward-backward gives each word's probabilities, and a text's
 language is the one with most expected words.
 """
 
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from textloom.llm.common import map_batches, materialise
 
 PER_LANG = 150  # texts of a language that are learned from
-WINDOWS, WIDTH = 12, 24  # windows of a text, words of a window
-MAX_LANGS = 64
+WIDTH = 24  # words of a training sequence's part
+MAX_LANGS = 256
 SPACE = 1 << 16
-LEXICON = 2_000
+LEAST_SEEN = 3  # times that a lexicon's word occurs in the sample
 WORD_CACHE = 600_000
 RESCALE = 8  # words between divisions that keep messages in range
 CELLS = 400_000  # padded words of a batch
@@ -44,20 +44,19 @@ class Grams(dict):
 
 
 class Crf:
-    def __init__(self, langs: list[str], lexicon: dict[str, int]):
+    def __init__(self, langs: list[str], lexicon: dict[str, list[int]]):
         n = len(langs)
         self.langs, self.lexicon, self.grams = langs, lexicon, Grams()
-        self.w = np.zeros((SPACE + (1 << n if n <= 6 else n + 1), n))
+        self.w = np.zeros((SPACE + n, n))
         self.trans, self.begin = np.zeros((n, n)), np.zeros(n)
 
     def features(self, word: str) -> list[int]:
-        """Hashed prefixes and suffixes up to 3, pairs and triples of characters, lexicon entry."""
+        """Hashed prefixes and suffixes up to 3, pairs and triples of characters, lexicon entries."""
         b, seen, n = f"<{word}>", self.grams, len(word)
         out = [seen[b[i : i + 2]] for i in range(n + 1)]
         out += [seen[b[i : i + 3]] for i in range(n)]
         out += [seen["^" + word[:1]], seen["^" + word[:2]], seen["^" + word[:3]], seen[word[-1:] + "$"], seen[word[-2:] + "$"], seen[word[-3:] + "$"]]
-        known = self.lexicon.get(word)
-        return [*out, SPACE + known] if known is not None else out
+        return out + [SPACE + k for k in self.lexicon.get(word, ())]
 
     def emission(self, word: str) -> np.ndarray:
         return self.w[self.features(word)].sum(axis=0)
@@ -99,7 +98,7 @@ class Crf:
         out[order] = ahead.transpose(1, 0, 2)
         return out
 
-    def train(self, sequences: list[list[tuple[str, int]]], epochs: int = 5, batch: int = 32, rate: float = 0.25, l2: float = 1e-5) -> None:
+    def train(self, sequences: list[list[tuple[str, int]]], epochs: int = 2, batch: int = 32, rate: float = 0.25, l2: float = 1e-5) -> None:
         """Adagrad on the conditional log-likelihood; the sequences are of any lengths."""
         sums = [np.full_like(x, 1e-6) for x in (self.w, self.trans, self.begin)]
         memo: dict[str, list[int]] = {}
@@ -156,47 +155,47 @@ def held_out(id_col: str):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Crf:
-    """Learns from at most per_lang texts of each language, by the hash of their id; held-out ids are left out."""
+    """Learns from at most per_lang whole texts of each language, by the hash of their id; held-out ids are left out.
+
+    Rows without id, text or language teach nothing, of rows of one id and language one does; without
+    any, no language is known.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("id").isNotNull() & ~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()]
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = materialise(rows.select("id", "lang").withColumn("nr", F.row_number().over(first)).where(F.col("nr") <= per_lang).select("id", "lang"), "sample")
+    picked = materialise(rows.select("id", "lang").distinct().withColumn("nr", F.row_number().over(first)).where(F.col("nr") <= per_lang).select("id", "lang"), "sample")
 
     def start():
         def step(columns):
             out = [[], [], []]
             for i, t, lang in zip(*columns, strict=True):
                 w = letters(t)
-                spread = range(0, max(1, len(w) - WIDTH + 1), max(1, (len(w) - WIDTH) // (WINDOWS - 1) or 1))
-                for k in list(spread)[:WINDOWS]:
-                    if w[k : k + WIDTH]:
-                        for column, x in zip(out, (i, w[k : k + WIDTH], lang), strict=True):
-                            column.append(x)
+                for k in range(0, len(w), WIDTH):
+                    for column, x in zip(out, (i, w[k : k + WIDTH], lang), strict=True):
+                        column.append(x)
             return out
 
         return step
 
-    texts = rows.join(F.broadcast(picked), ["id", "lang"]).select("id", "text", "lang")  # per_lang * MAX_LANGS rows at most
+    # per_lang texts of a language at most, one an id
+    texts = rows.join(F.broadcast(picked), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).select("id", "text", "lang")
     found = sorted((r[2], r[0], r[1]) for r in map_batches(texts, start, "id long, words array<string>, lang string").collect())
     return learn(found, sorted(langs))
 
 
 def learn(found: list[tuple[str, int, list[str]]], langs: list[str]) -> Crf:
-    """found: (language, id, words of a window)."""
+    """found: (language, id, words of a part of a text)."""
     counts = {lang: Counter() for lang in langs}
     for lang, _, words in found:
         counts[lang].update(words)
-    # a word's lexicon entry is the set of languages in whose lexicon it is (past six: the first)
-    lexicon: dict[str, int] = {}
+    # a word has an entry for every language in whose sample it recurs
+    lexicon: dict[str, list[int]] = {}
     for k, lang in enumerate(langs):
-        for word, n in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
-            if n >= 3:
-                if len(langs) <= 6:
-                    lexicon[word] = lexicon.get(word, 0) | 1 << k
-                else:
-                    lexicon.setdefault(word, k)
+        for word, n in counts[lang].items():
+            if n >= LEAST_SEEN:
+                lexicon.setdefault(word, []).append(k)
     crf = Crf(langs, lexicon)
     number = {lang: k for k, lang in enumerate(langs)}
     rng = np.random.default_rng(2)
@@ -267,7 +266,7 @@ def predict(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "
                         mean = q.mean(axis=0)
                         best = int(mean.argmax())
                         labels = q.argmax(axis=1)
-                        pred[i], score[i], count[i], switch[i] = model.langs[best], float(min(1.0, mean[best])), len(e), int((labels[1:] != labels[:-1]).sum())
+                        pred[i], score[i], count[i], switch[i] = model.langs[best], round(float(min(1.0, mean[best])), 6), len(e), int((labels[1:] != labels[:-1]).sum())
                     k = m
                 queue.clear()
 
