@@ -79,10 +79,10 @@ def _places(among: np.ndarray, values: np.ndarray) -> np.ndarray:
     return at[among[at] == values]
 
 
-def fit_chain(features: list[np.ndarray], y: np.ndarray, names: list[str]) -> Chain:
+def fit_chain(features: list[np.ndarray], y: np.ndarray, names: list[str], most: int = FEATURES, least: int = LEAST_DOCS) -> Chain:
     """features: distinct word ids of each text; y: 0/1 per text and category."""
     held, n = np.unique(np.concatenate([*features, np.empty(0, np.int64)]), return_counts=True)
-    held = held[n >= LEAST_DOCS]
+    held = held[n >= least]
     own = [_places(held, f) for f in features]
     p = np.bincount(np.concatenate([*own, np.empty(0, np.int64)]), minlength=len(held)) / max(1, len(own))
     chosen: set[int] = set()
@@ -92,7 +92,7 @@ def fit_chain(features: list[np.ndarray], y: np.ndarray, names: list[str]) -> Ch
             a = np.bincount(np.concatenate([own[i] for i in pos]), minlength=len(held))
             rest = (p * len(own) - a) / (len(own) - len(pos))
             gain = np.abs(a / len(pos) - rest) / np.sqrt(p * (1 - p) + 1e-6)
-            chosen |= set(np.argsort(-gain, kind="stable")[: FEATURES // y.shape[1]].tolist())
+            chosen |= set(np.argsort(-gain, kind="stable")[: most // y.shape[1]].tolist())
     order = np.array(sorted(chosen), dtype=np.int64)
     words, x = held[order], np.zeros((len(own), len(order)), np.float32)
     for row, f in zip(x, own, strict=True):
@@ -124,13 +124,20 @@ def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[at]] + low) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: dict[str, str] | None = None, max_labelled: int = MAX_LABELLED) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: dict[str, str] | None = None, max_labelled: int = MAX_LABELLED, features: int = FEATURES, least_docs: int = LEAST_DOCS) -> Chain:
+    """The chain fitted on at most max_labelled labelled rows, by the hash of their id.
+
+    A model sees the `features` words, of those that least_docs texts hold, that say most about the
+    categories.  Labels without id or first category teach nothing, those of one id are united; null
+    texts are left out, and of texts of one id one is taken.  Without labels nothing is flagged.
+    """
     categories = categories or CATEGORIES
     flags = [F.max(F.coalesce(F.expr(c), F.lit(False)).cast("int")).alias(f"y{k}") for k, c in enumerate(categories.values())]
     known = labels.where(F.col(id_col).isNotNull() & F.expr(next(iter(categories.values()))).isNotNull())
     sample = materialise(known.groupBy(F.col(id_col).cast("long").alias("id")).agg(*flags).orderBy(F.xxhash64("id"), "id").limit(max_labelled), "labelled")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    found = texts.join(F.broadcast(sample), "id")  # at most max_labelled rows
+    own = [f"y{k}" for k in range(len(flags))]
+    found = texts.join(F.broadcast(sample), "id").groupBy("id", *own).agg(F.min("text").alias("text")).select("id", "text", *own)  # at most max_labelled rows
 
     def start():
         def step(columns):
@@ -141,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = sorted(map_batches(found, start, "id long, words array<long>, y array<int>").collect(), key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0])), r[0]))
     y = np.array([r[2] for r in rows], dtype=np.int64).reshape(-1, len(categories))
-    return fit_chain([np.array(r[1], np.int64) for r in rows], y, list(categories))
+    return fit_chain([np.array(r[1], np.int64) for r in rows], y, list(categories), features, least_docs)
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,7 +180,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
             for row, t in zip(x, texts, strict=True):
                 if t:
                     row[[k for w in set(TOKENS(t.lower())) for k in place(w)]] = 1
-            p = c.predict(x)
+            p = np.round(c.predict(x), 6)  # alike in batches of any size
             return [ids, *[p[:, k].tolist() for k in range(p.shape[1])], [bool(q >= c.cut and t) for q, t in zip(p[:, 0], texts, strict=True)]]
 
         return step
