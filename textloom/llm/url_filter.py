@@ -6,6 +6,7 @@ is checked; executors read only the url column and walk the trie once per url.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import map_batches
 
-MAX_RULES = 1_000_000
+MAX_RULES, MAX_MB = 1_000_000, 256
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -76,6 +77,13 @@ class UrlTrie:
         return best
 
 
+def _bounded(trie: UrlTrie) -> UrlTrie:
+    size = len(pickle.dumps(trie, 5))
+    if size > MAX_MB * 1_000_000:
+        raise ValueError(f"a trie of {size} bytes is too large to broadcast")
+    return trie
+
+
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per page: id_col, host, path, rule (null if none fits), verdict.
 
@@ -84,9 +92,11 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "
     one rule in both lists, block wins.  A null url, an empty one or one without :// has empty host
     and path and gets the default verdict.  Repeated pages give repeated rows.
     """
-    trie = UrlTrie(rules)
+    sent = pages.sparkSession.sparkContext.broadcast(_bounded(UrlTrie(rules)))
 
     def start():
+        trie = sent.value
+
         def step(columns):
             ids, urls = columns
             parts = [split_url(u) for u in urls]
