@@ -119,7 +119,7 @@ def brute_marginals(crf, words):
 
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(0)
-    crf = langid.Crf(["a", "b", "c"], {"uno": 3})
+    crf = langid.Crf(["a", "b", "c"], {"uno": [0, 1]})
     crf.w[:] = rng.normal(size=crf.w.shape) * 0.3
     crf.trans[:], crf.begin[:] = rng.normal(size=(3, 3)), rng.normal(size=3)
     texts = [["uno", "dos", "tres", "four"], ["five"], ["uno", "six"]]
@@ -131,6 +131,92 @@ def test_forward_backward_matches_enumeration():
         assert np.allclose(q[: len(t)], brute_marginals(crf, t), atol=1e-9)
 
 
+def test_training_follows_the_gradient():
+    """Truth less expectation of words and transitions, against differences of the log-likelihood."""
+    rng = np.random.default_rng(3)
+    crf = langid.Crf(["a", "b", "c"], {"uno": [2]})
+    crf.w[:] = rng.normal(size=crf.w.shape) * 0.3
+    crf.trans[:], crf.begin[:] = rng.normal(size=(3, 3)), rng.normal(size=3)
+    part = [[("uno", 0), ("dos", 0), ("tres", 2)], [("four", 1)], [("uno", 2), ("dos", 1)]]
+
+    def likelihood():
+        total = 0.0
+        for s in part:
+            e, labels = [crf.emission(w) for w, _ in s], [y for _, y in s]
+            one = lambda path: crf.begin[path[0]] + sum(x[c] for x, c in zip(e, path)) + sum(crf.trans[a, b] for a, b in zip(path, path[1:]))
+            paths = [[k // 3**t % 3 for t in range(len(s))] for k in range(3 ** len(s))]
+            total += one(labels) - math.log(sum(math.exp(one(p)) for p in paths))
+        return total
+
+    lengths, width = np.array([3, 1, 2]), 3
+    scores, truth = np.zeros((3, width, 3)), np.zeros((3, width, 3))
+    for i, s in enumerate(part):
+        for t, (w, y) in enumerate(s):
+            scores[i, t], truth[i, t, y] = crf.emission(w), 1
+    inside = (np.arange(width)[None, :] < lengths[:, None])[:, :, None]
+    p = crf.marginals(scores, lengths) * inside
+    pairs = np.einsum("itk,itl->kl", truth[:, :-1], truth[:, 1:]) - crf._pairs(scores, lengths, p)
+    start = (truth[:, 0] - p[:, 0]).sum(axis=0)
+    step = 1e-5
+    for array, grad in ((crf.trans, pairs), (crf.begin, start)):
+        for at in np.ndindex(array.shape):
+            array[at] += step
+            up = likelihood()
+            array[at] -= 2 * step
+            down = likelihood()
+            array[at] += step
+            assert abs((up - down) / (2 * step) - grad[at]) < 1e-6
+
+
+def test_language_edges(spark):
+    rows = [(i, t, "aa" if i % 2 else "bb", "s", 0) for i in range(60) for t in ["kala moro tivu" if i % 2 else "streng wurz pfad"]]
+    df = spark.createDataFrame([*rows, rows[0], rows[0], (5, "other text of the id", "aa", "s", 0)], DOCS).selectExpr("*", "lang as lang_pred", "0 as score")
+    crf = langid.fit(df)
+    got = langid.predict(df, crf)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches"] and got.count() == 63
+    assert got.where("doc_id = 0").distinct().count() == 1 and langid.predict(df.limit(0), crf).count() == 0
+    assert {r.lang_pred for r in got.where("doc_id % 2 = 1 and doc_id <> 5").collect()} == {"aa"}
+
+
+def test_chain_is_that_of_models_fitted_in_turn():
+    """Chain and folds step by step over 200 texts."""
+    rng = np.random.default_rng(8)
+    y = np.stack([(rng.random(200) < q).astype(int) for q in (0.4, 0.3)], axis=1)
+    features = [np.unique(np.concatenate((rng.integers(0, 40, 12), [50 + k for k in range(2) if y[i, k] and rng.random() < 0.9]))) for i in range(200)]
+    chain = toxicity.fit_chain(features, y, ["one", "two"])
+    x = np.array([[float(w in set(f.tolist())) for w in chain.words] for f in features], np.float32)
+    earlier = np.zeros((200, 0), np.float32)
+    for c in range(2):
+        full = np.hstack((x, earlier))
+        w = toxicity.train_linear(full, y[:, c].astype(np.float32))
+        assert np.allclose(chain.weights[c], w, atol=1e-6)
+        outside = np.zeros(200, np.float32)
+        for i in range(200):  # a text is judged by the model of the other folds
+            if i < toxicity.FOLDS:
+                others = [j for j in range(200) if j % toxicity.FOLDS != i % toxicity.FOLDS]
+                v = toxicity.train_linear(full[others], y[others, c].astype(np.float32))
+                mine = [j for j in range(200) if j % toxicity.FOLDS == i]
+                outside[mine] = 1 / (1 + np.exp(-np.clip(full[mine] @ v[:-1] + v[-1], -30, 30)))
+        earlier = np.hstack((earlier, outside[:, None]))
+    got = chain.predict(x[:5].astype(np.float64))
+    for row, f in zip(got, x[:5]):
+        z = f @ chain.weights[0][:-1] + chain.weights[0][-1]
+        p = 1 / (1 + np.exp(-z))
+        z = f @ chain.weights[1][:-2] + p * chain.weights[1][-2] + chain.weights[1][-1]
+        assert np.allclose(row, [p, 1 / (1 + np.exp(-z))], atol=1e-5)
+
+
+def test_chain_edges(spark):
+    rows, labels = documents(80, seed=6)
+    df = spark.createDataFrame([*rows, rows[1], rows[1], (500, None, None, None, None)], DOCS).selectExpr("*", "true as flagged", "0.5D as p_toxic")
+    lab = spark.createDataFrame([*labels, labels[1], (2, 0, 1)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(df, lab)
+    got = toxicity.score(df, chain)
+    assert got.columns == ["doc_id", "p_toxic", "p_toxic_prose", "p_toxic_noise", "flagged"] and got.count() == 83
+    assert got.where("doc_id = 1").distinct().count() == 1 and not got.where("doc_id = 500").first().flagged
+    assert toxicity.score(df.limit(0), chain).count() == 0
+
+
 def test_language_of_held_out_and_switched_texts(spark):
     rng = random.Random(5)
     stems = {"aa": ["kala", "moro", "tivu", "sano"], "bb": ["streng", "wurz", "schlag", "pfad"], "cc": ["çoeur", "éau", "ôtre", "reux"]}
