@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from textloom.storage import materialise
 
-__all__ = ["KEPT", "fresh", "gather", "in_worker", "map_batches", "materialise", "row_key", "slices", "table", "unique_ids"]
+__all__ = ["KEPT", "fresh", "gather", "in_worker", "map_batches", "materialise", "row_key", "slices", "table", "unique_ids", "write_few"]
 
 
 SLICE = 1024  # rows that are Python objects at a time
@@ -57,6 +57,14 @@ def gather(df: DataFrame) -> DataFrame:
     return df.hint("rebalance")
 
 
+def write_few(df: DataFrame, name: str) -> DataFrame:
+    """materialise() for a table much narrower than the corpus: as few files as its size or the cluster's cores ask
+    for, also where adaptive execution does not merge partitions."""
+    spark = df.sparkSession
+    most = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    return materialise(gather(df).coalesce(most), name)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most `rows` rows and `most` bytes, but for single rows that have more."""
     for batch in batches:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise
+from textloom.llm.common import write_few
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.select("a", "b").where("a <> b")
     mark = None
     while True:
-        now = materialise(_small(_large(now)), "stars")
+        now = write_few(_small(_large(now)), "stars")
         seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if seen == mark or not seen[0]:
             break

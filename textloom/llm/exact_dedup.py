@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fresh, gather, map_batches, materialise, row_key, unique_ids
+from textloom.llm.common import fresh, gather, map_batches, materialise, row_key, unique_ids, write_few
 
 _PRINT = "id long, h128 binary, sha string"
 
@@ -83,4 +83,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = several.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy(*group).agg(F.min("key").alias("first"))
     # rows of one key are the same in every column
     gone = several.select("key", *group).distinct().join(first, group).where("key <> first").select(F.col("key").alias(key))
-    return (keyed if unique else keyed.dropDuplicates([key])).join(materialise(gather(gone), "gone"), key, "left_anti").drop(key)
+    return (keyed if unique else keyed.dropDuplicates([key])).join(write_few(gone, "gone"), key, "left_anti").drop(key)

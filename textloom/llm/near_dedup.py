@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import minhash as M
-from textloom.llm.common import fresh, gather, in_worker, map_batches, materialise, row_key, slices, unique_ids
+from textloom.llm.common import fresh, gather, in_worker, map_batches, materialise, row_key, slices, unique_ids, write_few
 from textloom.llm.components import components
 
 BLOCK = 256  # members of a bucket that one task compares with as many
@@ -181,27 +181,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets_of = prints.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     reps = materialise(gather(sets_of).withColumn("id", F.monotonically_increasing_id()), "sets")
     nodes = reps.select("id", F.explode("bands").alias("h"))
-    crowded = materialise(gather(nodes.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")), "crowded")
-    members = materialise(gather(nodes.join(crowded, "h")), "members")
+    crowded = write_few(nodes.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "crowded")
+    members = write_few(nodes.join(crowded, "h"), "members")
     # the center of a bucket is the member with the most company over all buckets
     company = members.groupBy("id").agg(F.sum("size").alias("company"))
     centers = members.join(company, "id").groupBy("h").agg(F.max(F.struct("company", (-F.col("id")).alias("x"))).alias("top")).select("h", (-F.col("top.x")).alias("a"))
-    edges = materialise(members.join(centers, "h").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "edges")
+    edges = write_few(members.join(centers, "h").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "edges")
     wanted = reps.join(members.select("id").distinct(), "id").select(F.col("id").alias("node"), "set_key", F.col("doc").alias("id"))
     sets = materialise(_sets(src.join(wanted, "id").select("node", "set_key", "text")), "shingles")
-    links = materialise(_verify(edges, sets, percent), "links")
-    labels = materialise(components(links), "labels")
+    links = write_few(_verify(edges, sets, percent), "links")
+    labels = components(links)
 
     named = members.join(labels, "id", "left").select("h", "id", "size", F.coalesce("label", "id").alias("label"))
     prints_of = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
     split = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), *prints_of).where("lo <> hi")
     split = split.groupBy("n", "x0", "x1").agg(F.min("h").alias("h")).select("h")  # buckets of the same members: one of them
-    rest = materialise(gather(named.join(split, "h", "left_semi")), "open")
+    rest = write_few(named.join(split, "h", "left_semi"), "open")
     if not rest.isEmpty():
         sized = rest.join(reps.select("id", "n"), "id").join(_narrow(sets.join(rest.select("id").distinct(), "id", "left_semi")), "id")
-        more = materialise(_verify(materialise(_rest(sized, percent), "candidates"), sets, percent), "links")
+        more = write_few(_verify(write_few(_rest(sized, percent), "candidates"), sets, percent), "links")
         if not more.isEmpty():
-            labels = materialise(components(links.unionByName(more)), "labels")
+            labels = components(links.unionByName(more))
 
     least = labels.join(reps.select("id", "doc"), "id").groupBy("label").agg(F.min("doc").alias("root"))
     named = reps.select("set_key", "id", "doc").join(labels, "id", "left").join(least, "label", "left")
@@ -232,4 +232,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         numbers = materialise(order.select(name, F.monotonically_increasing_id().alias(key)), "numbers")
         rows = materialise(keyed.join(numbers, name).drop(name), "numbered")
     gone = near_groups(rows.select(key, text_col), key, text_col, percent).where("not kept").select(key)
-    return rows.join(materialise(gather(gone), "gone"), key, "left_anti").drop(key)
+    return rows.join(write_few(gone, "gone"), key, "left_anti").drop(key)

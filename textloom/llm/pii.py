@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import SECRET_PATTERNS
-from textloom.llm.common import fresh, gather, in_worker, map_batches, materialise, slices
+from textloom.llm.common import fresh, in_worker, map_batches, slices, write_few
 
 KINDS = ("email", "ip", "card", "phone")
 SEEDED = "secret"  # a fifth kind: credentials after their names, and long strings that mix letters and digits
@@ -356,7 +356,7 @@ def _merged(tables: list[DataFrame], name: str) -> DataFrame | None:
     every = tables[0]
     for t in tables[1:]:
         every = every.unionByName(t)
-    return materialise(gather(every.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.sum("n").alias("n"))), name)
+    return write_few(every.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.sum("n").alias("n")), name)
 
 
 def _scored(graph: DataFrame) -> DataFrame:
@@ -368,7 +368,7 @@ def _scored(graph: DataFrame) -> DataFrame:
         # what a pattern says of an instance is the mean of its other instances
         seen = scores.join(sums, ["pattern", "of"]).withColumn("says", (F.col("total") - F.col("score")) / (F.col("m") - 1 + PRIOR))
         votes = seen.groupBy("value", "of").agg(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("says")))).alias("doubt"))
-        scores = materialise(graph.join(votes, ["value", "of"]).select("pattern", "of", "value", "fixed", F.coalesce("fixed", DOUBT * (1 - F.exp("doubt"))).alias("score")), "scores")
+        scores = graph.join(votes, ["value", "of"]).select("pattern", "of", "value", "fixed", F.coalesce("fixed", DOUBT * (1 - F.exp("doubt"))).alias("score"))
     return scores.groupBy("pattern", "of").agg((F.sum("score") / (F.count("*") + PRIOR)).alias("conf"))
 
 
@@ -391,18 +391,18 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
         votes = around.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"), F.sum("n").alias("n"))
         most = Window.partitionBy("pattern").orderBy(F.desc("seeds"), "kind")  # one kind a pattern
         kept = votes.where(F.col("seeds") >= LEAST_SEEDS).withColumn("nr", F.row_number().over(most)).where("nr = 1")
-        kept = materialise(gather(kept.select("pattern", F.col("kind").alias("of"), "n")), "patterns")
-        new = materialise(gather(kept.select("pattern").join(tried, "pattern", "left_anti")), "new-patterns")
+        kept = write_few(kept.select("pattern", F.col("kind").alias("of"), "n"), "patterns")
+        new = write_few(kept.select("pattern").join(tried, "pattern", "left_anti"), "new-patterns")
         for block in _blocks(new, "pattern"):
             found = _merged([_instance_edges(texts, [r[0] for r in block], holdout, plain=False)], "instances")
             instances.append(found.where("value is not null"))
             # patterns of words alone that mostly hold other words go before those are listed
             words = found.where("value is null").select("pattern", F.col("n").alias("others"))
             fair = words.join(kept, "pattern").where(F.col("n") >= LEAST_SHARE * (F.col("n") + F.col("others"))).select("pattern")
-            for some in _blocks(materialise(gather(fair), "fair"), "pattern"):
+            for some in _blocks(write_few(fair, "fair"), "pattern"):
                 instances.append(_merged([_instance_edges(texts, [r[0] for r in some], holdout, plain=True)], "words"))
             poor = words.select("pattern").join(fair, "pattern", "left_anti").select("pattern", F.lit(None).cast("string").alias("value"), F.lit("!").alias("kind"), F.lit(0).cast("long").alias("n"))
-            instances.append(materialise(gather(poor), "poor"))
+            instances.append(write_few(poor, "poor"))
         tried = kept.select("pattern").unionByName(tried).distinct()
         every = _merged(instances, "graph-edges") if instances else None
         if every is None:
@@ -410,16 +410,16 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
         usable = kept.join(every.where("kind = '!'").select("pattern"), "pattern", "left_anti")
         graph = every.where("value is not null").join(usable.select("pattern", "of"), "pattern").join(promoted.select("value", F.col("of").alias("now")), "value", "left")
         known = F.coalesce("kind", "now")
-        graph = materialise(graph.select("pattern", "of", "value", F.when(known == F.col("of"), 1.0).when(known.isNotNull(), 0.0).alias("fixed"), (F.col("kind").isNull()).alias("unknown")), "graph")
-        accepted = materialise(_scored(graph).where(F.col("conf") >= LEAST_SCORE), "accepted")
+        graph = write_few(graph.select("pattern", "of", "value", F.when(known == F.col("of"), 1.0).when(known.isNotNull(), 0.0).alias("fixed"), (F.col("kind").isNull()).alias("unknown")), "graph")
+        accepted = write_few(_scored(graph).where(F.col("conf") >= LEAST_SCORE), "accepted")
         best = Window.partitionBy("value").orderBy(F.desc("conf"), "of", "pattern")
         fresh_values = graph.where("unknown").join(accepted, ["pattern", "of"]).withColumn("nr", F.row_number().over(best)).where("nr = 1").select("value", "of")
-        promoted, before = materialise(gather(fresh_values), "promoted"), promoted
+        promoted, before = write_few(fresh_values, "promoted"), promoted
         count = promoted.count()
         if count <= last:
             break
         for block in _blocks(promoted.join(before, "value", "left_anti"), "value"):
-            seen_edges.append(materialise(_value_edges(texts, {r[0]: r[1] for r in block}), "value-edges"))
+            seen_edges.append(write_few(_value_edges(texts, {r[0]: r[1] for r in block}), "value-edges"))
         last = count
     if accepted is None:
         return {}
@@ -461,7 +461,7 @@ def _lookup(docs: DataFrame, accepted: Accepted, text_col: str) -> tuple[DataFra
     sha = F.sha2(F.col(text_col), 256)
     used = map_batches(docs.select(sha, F.col(text_col)), start, "key string, pattern string").distinct()
     own = used.join(accepted, "pattern").groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("pattern", "of", "conf")).alias(name))
-    joined = docs.withColumn(key, sha).join(materialise(own, "used"), key, "left").select(*docs.columns, name)
+    joined = docs.withColumn(key, sha).join(write_few(own, "used"), key, "left").select(*docs.columns, name)
     return joined, lambda column: [Lexicon({x["pattern"]: (x["of"], x["conf"]) for x in found or ()}) for found in column]
 
 
