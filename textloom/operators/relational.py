@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.storage import materialise
+
 
 def latest(df: DataFrame, by: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key in the given order."""
@@ -74,9 +76,24 @@ def budget(df: DataFrame, by: str, order: list[Column], size: str, rows: int, by
 
 
 def head_percent(df: DataFrame, order: list[Column], percent: int) -> DataFrame:
-    """The ceil(n * percent / 100) first rows; the order is found by a distributed sort."""
-    n = df.count()
-    return df.orderBy(*order).limit(-(-n * percent // 100))
+    """The ceil(n * percent / 100) first rows, in no order of their own.
+
+    Rows are dealt by ranges of the order; whole ranges are taken by their counts, and only the one
+    that the cut falls into is sorted.
+    """
+    part = "__part"
+    dealt = materialise(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    counts = sorted(tuple(r) for r in dealt.groupBy(part).count().collect())  # a row per partition
+    left, last = -(-sum(n for _, n in counts) * percent // 100), -1
+    for number, n in counts:
+        if left < n:
+            break
+        left, last = left - n, number
+    rest = [p for p, _ in counts if p > last]
+    whole = dealt.where(F.col(part) <= last)
+    if left and rest:
+        whole = whole.unionByName(dealt.where(F.col(part) == rest[0]).orderBy(*order).limit(left))
+    return whole.drop(part)
 
 
 def next_index(df: DataFrame, by: str, index: str) -> DataFrame:

@@ -6,8 +6,11 @@ built once and read by term.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +18,8 @@ from textloom.functions import vectors as vx
 from textloom.storage import materialise
 
 K1, B, RRF = 1.2, 0.75, 60
-ASKED = 10_000  # queries that are broadcast at once
+ASKED_BYTES = 64 << 20  # query vectors that are broadcast at once
+CELLS = 1 << 22  # scores computed at once
 
 
 def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -60,21 +64,51 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int, pool: DataFrame | None = None, digits: int | None = None) -> DataFrame:
-    """Exact cosine search of queries (query_id, q), which are broadcast at most about ASKED at once; digits as in bm25."""
-    blocks = -(-queries.count() // ASKED) or 1
-    v = vectors if pool is None else vectors.join(pool, "id", "left_semi")
+    """Exact cosine search of queries (query_id, q) in vectors (id, embedding), a block of queries at a time.
 
-    def hits(asked: DataFrame) -> DataFrame:
-        pairs = v.join(F.broadcast(asked))
-        return top_k(pairs.select("query_id", "id", _rounded(1 - vx.cosine_distance(F.col("embedding"), F.col("q")), digits).alias("score")), k)
+    A block's vectors are broadcast, at most ASKED_BYTES of them; every Arrow batch is multiplied with
+    them at once and hands on what may be among a query's k best.  A zero vector is at no distance from
+    any; null vectors take no part; digits as in bm25.
+    """
+    asked = queries.where(F.col("q").isNotNull())
+    dim = asked.agg(F.max(F.size("q"))).first()[0] or 1
+    blocks = -(-asked.count() * dim * 8 // ASKED_BYTES) or 1
+    v = (vectors if pool is None else vectors.join(pool, "id", "left_semi")).where(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    slack = 10.0 ** -(digits if digits is not None else 12)
+
+    def hits(block: DataFrame) -> DataFrame:
+        rows = block.select(F.col("query_id").cast("long"), F.col("q").cast("array<double>")).collect()
+        ids = np.array([r[0] for r in rows], dtype=np.int64)
+        sent = v.sparkSession.sparkContext.broadcast((ids, _unit(np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            step = max(1, CELLS // max(1, len(ids)))
+            for part in (b.slice(i, step) for b in batches for i in range(0, b.num_rows if len(ids) else 0, step)):
+                own = part.column(0).to_numpy()
+                m = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1))
+                s = q @ m.T
+                s[(q == 0).all(axis=1)] = 1.0
+                s[:, (m == 0).all(axis=1)] = 1.0
+                least = np.partition(s, -k, axis=1)[:, -k] if k < len(own) else np.full(len(ids), -np.inf)
+                at, of = np.nonzero(s >= least[:, None] - slack)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(own[of]), pa.array(s[at, of])], names=["query_id", "id", "score"])
+
+        found = v.mapInArrow(run, "query_id long, id long, score double")
+        return top_k(found.select("query_id", "id", _rounded(F.col("score"), digits).alias("score")), k)
 
     if blocks == 1:
-        return hits(queries)
-    dealt = materialise(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
+        return hits(asked)
+    dealt = materialise(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
     parts = [materialise(hits(dealt.where(F.col("block") == b).drop("block")), "hits") for b in range(blocks)]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(size == 0, 1.0, size)
+
+
 def fuse_ranks(*lists: DataFrame) -> DataFrame:
     """Reciprocal rank fusion of lists (query_id, id, rank)."""
     every = lists[0].select("query_id", "id", "rank")

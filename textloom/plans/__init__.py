@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "relational", "retrieval", "evaluation"]
+MODULES = ["corpus", "relational", "retrieval", "evaluation", "curation"]
 
 
 def _load() -> None:

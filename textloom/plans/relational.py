@@ -15,11 +15,14 @@ from textloom.plans.registry import plan
          CAST(sum((n > 1)::INT) AS BIGINT) AS n_copied, round(avg(length(regexp_replace(text, '[ \\t\\n\\r\\f\\v]', '', 'g')) / length(text)), 6) AS visible
          FROM (SELECT *, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents) GROUP BY source""")
 def corpus_overview(t):
-    d = t.documents.withColumn("h", tx.content_hash(F.col("text")))
-    copies = d.groupBy("h").agg(F.count("*").alias("n_same"))
     x = F.col("text")
     visible = F.length(F.regexp_replace(x, tx.SPACE, "")) / F.length(x)
-    return d.join(copies, "h").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.countDistinct("h").alias("n_texts"), F.sum((F.col("n_same") > 1).cast("long")).alias("n_copied"), F.round(F.avg(visible), 6).alias("visible"))
+    # the texts themselves go no further
+    d = t.documents.select("source", tx.content_hash(x).alias("h"), F.length(x).alias("size"), visible.alias("seen"))
+    texts = d.groupBy("h", "source").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("seen").alias("seen"))
+    copies = texts.groupBy("h").agg(F.sum("n").alias("n_same"))
+    rows = texts.join(copies, "h").groupBy("source")
+    return rows.agg(F.sum("n").alias("n"), F.sum(F.col("size") * F.col("n")).alias("chars"), F.count("*").alias("n_texts"), F.sum(F.when(F.col("n_same") > 1, F.col("n")).otherwise(0)).alias("n_copied"), F.round(F.sum(F.col("seen") * F.col("n")) / F.sum(F.when(F.col("seen").isNotNull(), F.col("n"))), 6).alias("visible"))
 
 
 @plan("""SELECT coalesce(d.source, 'conversation') AS dataset, count(*) AS n FROM
@@ -128,8 +131,10 @@ def source_mix(t):
          SELECT lang, max(CASE WHEN i = least(CAST(floor(0.5 * c) AS BIGINT), c - 1) THEN n END) AS p50, max(CASE WHEN i = least(CAST(floor(0.95 * c) AS BIGINT), c - 1) THEN n END) AS p95 FROM s GROUP BY lang""")
 def nearest_index_percentiles(t):
     w = Window.partitionBy("lang")
-    s = t.documents.select("lang", F.length("text").cast("long").alias("n")).withColumn("c", F.count("*").over(w)).withColumn("i", F.row_number().over(w.orderBy("n")) - 1)
-    pick = lambda p: F.max(F.when(F.col("i") == F.least(F.floor(F.lit(p) * F.col("c")), F.col("c") - 1), F.col("n")))
+    # one row a length, so what a window holds does not grow with the documents
+    s = t.documents.select("lang", F.length("text").cast("long").alias("n")).groupBy("lang", "n").agg(F.count("*").alias("k"))
+    s = s.withColumn("c", F.sum("k").over(w)).withColumn("upto", F.sum("k").over(w.orderBy("n")))
+    pick = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.lit(p) * F.col("c")), F.col("c") - 1), F.col("n")))
     return s.groupBy("lang").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"))
 
 
@@ -143,7 +148,7 @@ def gold_coverage(t):
          (SELECT s_nationkey, p_brand, l_extendedprice AS value, row_number() OVER (PARTITION BY s_nationkey, p_brand ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS rn
           FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey) e ON e.s_nationkey = n.n_nationkey AND e.rn = 1""")
 def latest_per_host_model(t):
-    facts = t.lineitem.join(F.broadcast(t.supplier.select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey")).join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    facts = t.lineitem.join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     last = relational.latest(facts, ["s_nationkey", "p_brand"], [F.desc("l_shipdate"), F.asc("l_orderkey"), F.asc("l_linenumber")])
     return t.nation.join(last, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_name", "p_brand", F.col("l_extendedprice").alias("value"), F.when(F.col("p_brand").isNotNull(), F.lit(1).cast("long")).alias("rn"))
 
