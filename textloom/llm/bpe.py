@@ -49,7 +49,7 @@ def byte_symbols() -> list[str]:
 class Encoder:
     """words remembers white-space-free pieces of text as packed ids, tokens the other pre-tokens."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, remembered: int = WORD_CACHE):
         model = spec["model"]
         vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -62,8 +62,8 @@ class Encoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.names = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
-        self.words: dict[str, bytes] = Remembered(self.chunk)
-        self.tokens: dict[str, bytes] = Remembered(self.merge)
+        self.words: dict[str, bytes] = Remembered(self.chunk, remembered)
+        self.tokens: dict[str, bytes] = Remembered(self.merge, remembered)
 
     def merge(self, token: str) -> bytes:
         """Packed ids of one pre-token."""
@@ -120,16 +120,16 @@ class Encoder:
 
 
 class Remembered(dict):
-    """Results of a function; beyond WORD_CACHE of them, those not used again are forgotten."""
+    """Results of a function; beyond `most` of them, those not used again are forgotten."""
 
-    def __init__(self, of):
-        self.of, self.old = of, {}
+    def __init__(self, of, most: int):
+        self.of, self.most, self.old = of, most, {}
 
     def __missing__(self, key: str) -> bytes:
         out = self.old.get(key)
         if out is None:
             out = self.of(key)
-        if len(self) >= WORD_CACHE:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = out
@@ -142,11 +142,12 @@ _SHARED: dict[str, Encoder] = {}
 KEPT["encoder"] = _SHARED.clear
 
 
-def shared_encoder(key: str, spec: dict) -> Encoder:
+def shared_encoder(path: str, spec: dict, remembered: int = WORD_CACHE) -> Encoder:
     """One encoder, and one memory of words, for all tasks of a Python worker."""
+    key = f"{remembered} {path}"
     if key not in _SHARED:
         _SHARED.clear()
-        _SHARED[key] = Encoder(spec)
+        _SHARED[key] = Encoder(spec, remembered)
         gc.freeze()  # the tables stay; collections need not walk them
     return _SHARED[key]
 

@@ -13,7 +13,7 @@ import xxhash
 
 SHINGLE = 5
 BINS, BANDS, ROWS = 512, 64, 8  # BANDS * ROWS == BINS
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 _SHIFT = np.uint64(64 - 9)
 _MULT = np.uint64(0x9E3779B97F4A7C15)

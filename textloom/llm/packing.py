@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.bpe import load_tokenizer, shared_encoder
+from textloom.llm.bpe import WORD_CACHE, load_tokenizer, shared_encoder
 from textloom.llm.common import in_worker, map_batches, materialise
 
 GROUP = 20_000  # pieces that are ranked together
@@ -77,12 +77,12 @@ def plan_bins(histogram: dict[int, int], tokens: int, documents: int | None = No
     return np.array(plan, dtype=np.int64).reshape(-1, 6)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, tokens: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, tokens: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, remembered: int = WORD_CACHE) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]): a text's ids and end_id, cut every `tokens`."""
     sent = docs.sparkSession.sparkContext.broadcast(load_tokenizer(tokenizer))
 
     def start():
-        enc, end = shared_encoder(tokenizer, sent.value), np.array([end_id], dtype="<u4").tobytes()
+        enc, end = shared_encoder(tokenizer, sent.value, remembered), np.array([end_id], dtype="<u4").tobytes()
 
         def step(columns):
             out = [[] for _ in range(5 + with_ids)]
@@ -135,15 +135,15 @@ def assign_bins(pieces: DataFrame, plan: np.ndarray, id_col: str = "doc_id") ->
     return ranked.select(*pieces.columns, F.col("length").alias("__length"), F.col("rank").cast("long")).mapInArrow(in_worker(run, "encoder"), f"{kinds}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer: str, tokens: int = 4096, documents: int | None = None, cost: int | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), score: str = "norm", end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, tokens: int = 4096, documents: int | None = None, cost: int | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), score: str = "norm", end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, remembered: int = WORD_CACHE) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32[, ids], sequence_id, offset.
 
     A document is its text's ids and end_id (null and empty: end_id alone); only one longer than a
     sequence is cut.  `tokens`, `documents` and `cost` (summed squared lengths, the cost of attention
-    inside documents) limit a sequence; pieces are cut so that one always fits.  Repeated rows are
+    inside documents) limit a sequence; `remembered` words a worker keep their ids; pieces are cut so that one always fits.  Repeated rows are
     packed as often as they occur; an empty table gives no rows; other columns are not read.
     """
     longest = tokens if cost is None else min(tokens, int(cost**0.5))
-    pieces = materialise(token_pieces(docs, tokenizer, longest, end_id, id_col, text_col, with_ids), "pieces")
+    pieces = materialise(token_pieces(docs, tokenizer, longest, end_id, id_col, text_col, with_ids, remembered), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `tokens` rows
     return assign_bins(pieces, plan_bins(histogram, tokens, documents, cost, weights, score), id_col)

@@ -25,7 +25,7 @@ from textloom.llm.minhash import mix
 
 BUCKETS = 1 << 15
 MAX_LABELLED = 20_000
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 
 _LAST = (1 << 63) - 1  # in the place of a missing id
