@@ -25,6 +25,9 @@ from textloom.llm.common import materialise, table
 from textloom.llm.registry import CAPACITIES, tokenizer_path
 
 
+REMEMBERED = 250_000  # words: executors hold other stages' memory too
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that reach the sample; null, empty and blank texts go."""
     return quality.select(docs, table(spark, sf_dir, "labels"))
@@ -47,7 +50,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece; a null or empty text is a piece of the end id alone."""
-    return packing.pack(docs, tokenizer_path(), with_ids=True, **CAPACITIES)
+    return packing.pack(docs, tokenizer_path(), with_ids=True, remembered=REMEMBERED, **CAPACITIES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
