@@ -18,7 +18,7 @@ from textloom.functions import vectors as vx
 from textloom.storage import materialise
 
 K1, B, RRF = 1.2, 0.75, 60
-ASKED_BYTES = 64 << 20  # query vectors that are broadcast at once
+ASKED, ASKED_BYTES = 10_000, 64 << 20  # queries that are broadcast at once, and the size of their vectors
 CELLS = 1 << 22  # scores computed at once
 
 
@@ -66,13 +66,14 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 def dense(queries: DataFrame, vectors: DataFrame, k: int, pool: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """Exact cosine search of queries (query_id, q) in vectors (id, embedding), a block of queries at a time.
 
-    A block's vectors are broadcast, at most ASKED_BYTES of them; every Arrow batch is multiplied with
+    A block's vectors are broadcast, about ASKED queries and ASKED_BYTES at most; every Arrow batch is multiplied with
     them at once and hands on what may be among a query's k best.  A zero vector is at no distance from
     any; null vectors take no part; digits as in bm25.
     """
     asked = queries.where(F.col("q").isNotNull())
     dim = asked.agg(F.max(F.size("q"))).first()[0] or 1
-    blocks = -(-asked.count() * dim * 8 // ASKED_BYTES) or 1
+    n = asked.count()
+    blocks = max(1, -(-n // ASKED), -(-n * dim * 8 // ASKED_BYTES))
     v = (vectors if pool is None else vectors.join(pool, "id", "left_semi")).where(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     slack = 10.0 ** -(digits if digits is not None else 12)
 
