@@ -26,30 +26,41 @@ from textloom.llm.registry import CAPACITIES, tokenizer_path
 
 
 REMEMBERED = 250_000  # words: executors hold other stages' memory too
+BATCH = "1024"  # rows of an Arrow batch: both the JVM and the workers keep the memory of the largest one
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH rows; texts are long, and results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that reach the sample; null, empty and blank texts go."""
+    _small_batches(spark)
     return quality.select(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts; texts of a shared or missing id all have one."""
+    _small_batches(spark)
     return exact_dedup.exact_dedup(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate component; ids may recur or be null."""
+    _small_batches(spark)
     return near_dedup.near_dedup(docs, percent=80)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, texts masked; null and empty texts stay as they are."""
+    _small_batches(spark)
     return pii.redact(docs, pii.learn(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece; a null or empty text is a piece of the end id alone."""
+    _small_batches(spark)
     return packing.pack(docs, tokenizer_path(), with_ids=True, remembered=REMEMBERED, **CAPACITIES)
 
 
