@@ -25,7 +25,7 @@ from textloom.llm.common import materialise, table
 from textloom.llm.registry import CAPACITIES, tokenizer_path
 
 
-REMEMBERED = 250_000  # words: executors hold other stages' memory too
+REMEMBERED = 60_000  # words: executors hold other stages' memory too
 BATCH = "1024"  # rows of an Arrow batch: both the JVM and the workers keep the memory of the largest one
 
 
