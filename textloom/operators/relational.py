@@ -67,12 +67,20 @@ def diff(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
 
 
 def budget(df: DataFrame, by: str, order: list[Column], size: str, rows: int, bytes_: int) -> DataFrame:
-    """Marks for eviction, best candidates first, until a key is within its rows and bytes."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(by)
-    left_rows = F.count("*").over(whole) - F.count("*").over(w)
-    left_bytes = F.sum(size).over(whole) - F.coalesce(F.sum(size).over(w), F.lit(0))
-    return df.withColumn("evict", (left_rows > rows) | (left_bytes > bytes_))
+    """Marks for eviction, best candidates first, until a key is within its rows and bytes.
+
+    Rows are dealt by ranges of key and order, so a key of many rows is ranked by many tasks; what lies
+    before a range comes from the sums of the ranges, a row per key and range.  A null size is none.
+    """
+    part = "__part"
+    dealt = materialise(df.repartitionByRange(F.col(by), *order).withColumn(part, F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(by, part).agg(F.count("*").alias("__n"), F.sum(F.coalesce(size, F.lit(0))).alias("__b"))
+    here, whole = Window.partitionBy(by).orderBy(part).rowsBetween(Window.currentRow, Window.unboundedFollowing), Window.partitionBy(by, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    left = sums.select(F.col(by).alias("__by"), F.col(part).alias("__at"), F.sum("__n").over(here).alias("__n"), F.sum("__b").over(here).alias("__b"))  # of this range and those after it
+    placed = dealt.join(left, F.col(by).eqNullSafe(F.col("__by")) & (F.col(part) == F.col("__at")))
+    left_rows = F.col("__n") - F.count("*").over(whole)
+    left_bytes = F.col("__b") - F.coalesce(F.sum(F.coalesce(size, F.lit(0))).over(whole), F.lit(0))
+    return placed.withColumn("evict", (left_rows > rows) | (left_bytes > bytes_)).select(*df.columns, "evict")
 
 
 def head_percent(df: DataFrame, order: list[Column], percent: int) -> DataFrame:
