@@ -2,6 +2,7 @@ import hashlib
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
@@ -248,3 +249,31 @@ def test_scores_that_round_alike_are_ties_before_the_first_cut(spark, tmp_path):
     for name, query in (("lexical_search", 7), ("dense_search", 0)):
         rows = [r for r in plans.queries()[name](spark, str(tmp_path)).collect() if r.query_id == query]
         assert [r.id for r in sorted(rows, key=lambda r: r["rank"])] == list(range(10)), name
+
+
+def test_budget_over_many_ranges(spark):
+    # one source holds most rows, sizes tie, are null or zero, and one source is null
+    rows = [("hot" if i % 5 else None if i % 10 else "small", i, None if i % 17 == 0 else i % 23) for i in range(400)]
+    df = spark.createDataFrame(rows, "source string, id long, size long")
+    order = lambda r: (-(r[2] if r[2] is not None else -1), r[1])
+    got = {r.id: r.evict for r in relational.budget(df, "source", [F.desc_nulls_last("size"), F.asc("id")], "size", 50, 300).collect()}
+    for source in ("hot", "small", None):
+        mine = sorted((r for r in rows if r[0] == source), key=order)
+        n, b = len(mine), sum(r[2] or 0 for r in mine)
+        for r in mine:
+            assert got[r[1]] == (n > 50 or b > 300), r
+            n, b = n - 1, b - (r[2] or 0)
+    assert relational.budget(df.limit(0), "source", [F.asc("id")], "size", 1, 1).collect() == []
+
+
+def test_similar_clusters_count_copies_without_making_pairs(spark):
+    base = [f"w{i}" for i in range(40)]
+    sets = [base] * 3 + [[*base[:-1], "x"]] * 2 + [["alone"], ["twin"], ["twin"], [], None]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, s array<string>")
+    got = {r.id: (r.n, r.similarity, r.cluster_id) for r in graph.similar_clusters(df, "id", "s", 85).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 6, 7}
+    assert got[0][0] == 5 and got[0][1] == pytest.approx((4 * 1.0 + 6 * 39 / 41) / 10)
+    assert got[6][:2] == (2, 1.0) and len({got[i][2] for i in range(5)}) == 1 != len({got[0][2], got[6][2]})
+    pairs = graph.clusters(retrieval.shingle_pairs(df, "id", "s", 85)).collect()
+    assert {r.id: r.cluster_id for r in pairs} == {i: c for i, (_, _, c) in got.items()}
+    assert graph.similar_clusters(df.limit(0), "id", "s", 85).collect() == []

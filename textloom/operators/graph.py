@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import cluster_id
+from textloom.operators.retrieval import shingle_pairs
 from textloom.storage import materialise
 
 
@@ -29,3 +30,25 @@ def clusters(pairs: DataFrame) -> DataFrame:
     members = named.groupBy("label").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("label", cluster_id(F.col("ids")).alias("cluster_id"), "ids")
     mean = pairs.join(named.withColumnRenamed("id", "a"), "a").groupBy("label").agg(F.avg("similarity").alias("similarity"))
     return members.join(mean, "label").select("cluster_id", F.size("ids").cast("long").alias("n"), "similarity", F.explode("ids").alias("id"))
+
+
+def similar_clusters(df: DataFrame, id_col: str, shingle_col: str, percent: int) -> DataFrame:
+    """(cluster_id, id, n, similarity): clusters of ids whose sets are linked by 100 * common >= percent * union, and
+    the mean similarity of a cluster's linked pairs.
+
+    Rows of one set are a class, of which one row is compared; the pairs inside a class (similarity 1) and
+    between two linked classes are counted, not made.  Null and empty sets are in no cluster.
+    """
+    own = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(shingle_col)).alias("s")).where(F.size("s") > 0)
+    keyed = own.withColumn("key", F.sha2(F.to_json("s"), 256))
+    classes = materialise(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.first("s").alias("s")), "classes")
+    pairs = materialise(shingle_pairs(classes, "rep", "s", percent), "class-pairs")
+    sized = classes.select("key", "rep", "m").join(labels(pairs).withColumnRenamed("id", "rep"), "rep", "left")
+    named = materialise(sized.where("label is not null or m > 1").withColumn("label", F.coalesce("label", "rep")), "named")
+    within = named.select("label", (F.col("m") * (F.col("m") - 1) / 2).alias("w"), F.lit(1.0).alias("x"))
+    ends = [named.select(F.col("rep").alias(c), F.col("m").alias(f"m{c}"), *extra) for c, extra in (("a", ["label"]), ("b", []))]
+    across = pairs.join(ends[0], "a").join(ends[1], "b").select("label", (F.col("ma") * F.col("mb")).cast("double").alias("w"), F.col("similarity").alias("x"))
+    mean = within.unionByName(across).groupBy("label").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("similarity"))
+    rows = keyed.select("id", "key").join(named.select("key", "label"), "key")
+    members = rows.groupBy("label").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return members.join(mean, "label").select(cluster_id(F.col("ids")).alias("cluster_id"), F.size("ids").cast("long").alias("n"), "similarity", F.explode("ids").alias("id"))
