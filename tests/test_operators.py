@@ -277,3 +277,35 @@ def test_similar_clusters_count_copies_without_making_pairs(spark):
     pairs = graph.clusters(retrieval.shingle_pairs(df, "id", "s", 85)).collect()
     assert {r.id: r.cluster_id for r in pairs} == {i: c for i, (_, _, c) in got.items()}
     assert graph.similar_clusters(df.limit(0), "id", "s", 85).collect() == []
+
+
+def test_replaced_chunks_keep_ids_of_unchanged_texts(spark):
+    old = spark.createDataFrame([(1, "a", 10, 0), (1, "b", 11, 1), (1, "a", 12, 2), (1, None, 13, 3), (2, "a", 20, 0)], "doc long, h string, id long, at int")
+    new = spark.createDataFrame([(1, "a", 0), (1, "c", 1), (1, "a", 2), (3, "a", 0)], "doc long, h string, at int")
+    got = sorted((r.doc, r.h or "", r.id or -1, -1 if r.at is None else r.at, r.action) for r in relational.replace_chunks(old, new, "doc", "h", "id", "at").collect())
+    assert got == [
+        (1, "", 13, -1, "delete"),
+        (1, "a", -1, 2, "insert"),
+        (1, "a", 10, 0, "update"),
+        (1, "a", 12, -1, "leave"),
+        (1, "b", 11, -1, "delete"),
+        (1, "c", -1, 1, "insert"),
+        (3, "a", -1, 0, "insert"),
+    ]
+    assert relational.replace_chunks(old, new.limit(0), "doc", "h", "id", "at").collect() == []
+
+
+def test_audit_of_changed_rows(spark):
+    before = spark.createDataFrame([(1, "x", None), (2, "y", 1), (3, "z", 2)], "k long, v string, n int")
+    after = spark.createDataFrame([(1, "x", None), (2, "y", None), (4, "w", 3)], "k long, v string, n int")
+    got = {r.k: (r.before and json.loads(r.before), r.after and json.loads(r.after), r.dry_run) for r in relational.audit(before, after, ["k"], "edit", True).collect()}
+    assert got == {2: ({"v": "y", "n": 1}, {"v": "y", "n": None}, True), 3: ({"v": "z", "n": 2}, None, True), 4: (None, {"v": "w", "n": 3}, True)}
+
+
+def test_chunker_names(spark):
+    pick = chunking.chunker_for(F.col("c"), F.col("k"), F.lit("own"))
+    df = spark.createDataFrame([("book", "markdown"), ("", "markdown"), (None, ""), (None, None)], "c string, k string")
+    assert [r[0] for r in df.select(pick).collect()] == ["cdc", "markdown", "own", "own"]
+    for row in (("poem", "cdc"), (None, "lines")):
+        with pytest.raises(Exception, match="unknown"):
+            spark.createDataFrame([row], df.schema).select(pick).collect()

@@ -126,3 +126,30 @@ def chunk_with(df: DataFrame, id_col: str, text_col: str, cut: Callable[[str], I
             yield pd.DataFrame(rows, columns=schema.names)
 
     return df.select(F.col(id_col).cast("long"), text_col).where(F.col(text_col).isNotNull()).mapInPandas(run, schema)
+
+
+# fixed values: the chunker of each content class
+CHUNKER_OF_CLASS = {
+    "code": "code",
+    "chat": "conversation",
+    "reference": "passthrough",
+    "book": "cdc",
+    "textbook": "cdc",
+    "paper": "cdc",
+    "article": "cdc",
+    "note": "cdc",
+    "other": "cdc",
+}
+CHUNKERS = ("markdown", "conversation", "passthrough", "code", "cdc")
+
+
+def chunker_for(class_hint: Column, chunker_hint: Column, fallback: Column) -> Column:
+    """The chunker's name: that of the content class, else the hint, else the source's own.
+
+    Null and empty hints are absent; an unknown class or chunker is an error of the query.
+    """
+    known = F.create_map(*[F.lit(x) for pair in CHUNKER_OF_CLASS.items() for x in pair])
+    unknown = lambda what, c: F.raise_error(F.concat(F.lit(f"unknown {what}: "), c)).cast("string")
+    by_class = F.coalesce(F.try_element_at(known, class_hint), unknown("class", class_hint))
+    by_hint = F.when(chunker_hint.isin(*CHUNKERS), chunker_hint).otherwise(unknown("chunker", chunker_hint))
+    return F.when(class_hint != "", by_class).when(chunker_hint != "", by_hint).otherwise(fallback)

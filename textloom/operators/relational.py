@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,40 @@ def diff(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
     return a.join(b, [*on, "nr"], "full").select(*on, F.when(F.col("o").isNull(), "insert").when(F.col("n").isNull(), "delete").otherwise("keep").alias("action"))
 
 
+def replace_chunks(old: DataFrame, new: DataFrame, doc: str, hash_: str, id_col: str, index: str) -> DataFrame:
+    """What a new cut of documents does to their chunks: doc, hash_, id_col, index, action.
+
+    old has doc, hash_, id_col and index, new has doc, hash_ and index.  Of each text of a document the first old chunk
+    is moved to the first new place and keeps its id and with it its vectors (update); further places are new
+    (insert, no id yet); chunks whose text is gone or unknown go (delete), and further old copies of a text
+    that stays remain as they are (leave).  Documents that new does not have are not touched.
+    """
+    key = [doc, hash_]
+    place = new.groupBy(*key).agg(F.min(index).alias(index))
+    first = old.groupBy(*key).agg(F.min(F.struct(index, id_col)).alias("__first")).select(*key, F.col(f"__first.{id_col}").alias(id_col))
+    moved = first.join(place, key)
+    mine = old.join(new.select(doc).distinct(), doc, "left_semi").select(*key, id_col, F.lit(None).cast(dict(new.dtypes)[index]).alias(index))
+    none = F.lit(None).cast(dict(old.dtypes)[id_col]).alias(id_col)
+    parts = {
+        "update": moved,
+        "insert": new.join(moved, [*key, index], "left_anti").select(*key, none, index),
+        "delete": mine.join(place, key, "left_anti"),
+        "leave": mine.join(place, key, "left_semi").join(moved, id_col, "left_anti"),
+    }
+    found = [rows.select(*key, id_col, index, F.lit(action).alias("action")) for action, rows in parts.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+def audit(before: DataFrame, after: DataFrame, on: list[str], tool: str, dry_run: bool = False) -> DataFrame:
+    """A row per key that a write changes: on, tool, before, after (JSON of the other columns, null where the row
+    is not there), dry_run."""
+    rest = [c for c in before.columns if c not in on]
+    b = before.select(*on, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("before"))
+    a = after.select(*on, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("after"))
+    changed = b.join(a, on, "full").where(~F.col("before").eqNullSafe(F.col("after")))
+    return changed.select(*on, F.lit(tool).alias("tool"), "before", "after", F.lit(dry_run).alias("dry_run"))
+
+
 def budget(df: DataFrame, by: str, order: list[Column], size: str, rows: int, bytes_: int) -> DataFrame:
     """Marks for eviction, best candidates first, until a key is within its rows and bytes.
 

@@ -265,3 +265,15 @@ def drift_token_length(t):
          SELECT round(0.5 * sum(p * ln(p / ((p + q) / 2))) + 0.5 * sum(q * ln(q / ((p + q) / 2))), 9) AS js FROM p""")
 def drift_embedding_centroid(t):
     return stats.js_divergence(t.embeddings.select("embedding", (F.col("vec_id") % 2 == 0).alias("s")), "embedding", "s").select(F.round("js", 9).alias("js"))
+
+
+_CLASSES = ["code", "chat", "reference", "book", "textbook", "paper", "article", "note", "other", "", None]
+_HINTS = ["markdown", "cdc", "", None]
+_listed = lambda values: "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
+@plan(f"""WITH h AS (SELECT doc_id, source, ({_listed(_CLASSES)})[doc_id % 11 + 1] AS c, ({_listed(_HINTS)})[doc_id % 4 + 1] AS k FROM documents)
+  SELECT doc_id, CASE WHEN c = 'code' THEN 'code' WHEN c = 'chat' THEN 'conversation' WHEN c = 'reference' THEN 'passthrough' WHEN c <> '' THEN 'cdc' WHEN k <> '' THEN k ELSE 'own:' || source END AS chunker FROM h""")
+def chunker_dispatch(t):
+    pick = lambda values, n: F.get(F.array(*[F.lit(v).cast("string") for v in values]), (F.col("doc_id") % n).cast("int"))
+    return t.documents.select("doc_id", chunking.chunker_for(pick(_CLASSES, 11), pick(_HINTS, 4), F.concat(F.lit("own:"), "source")).alias("chunker"))

@@ -203,6 +203,25 @@ def chunk_diff(t):
     return relational.diff(c("doc_id % 3 <> 0"), c("doc_id % 4 <> 0"), ["doc", "h"])
 
 
+@plan("""WITH d AS (SELECT doc_id, doc_id % 50 AS doc, sha256(text) AS h FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY doc, h ORDER BY doc_id) AS nr FROM d WHERE doc_id % 3 <> 0),
+         n AS (SELECT *, row_number() OVER (PARTITION BY doc, h ORDER BY doc_id) AS nr FROM d WHERE doc_id % 4 <> 0 AND doc < 40)
+         SELECT n.doc, n.h, o.doc_id AS chunk_id, n.doc_id AS place, CASE WHEN o.doc_id IS NULL THEN 'insert' ELSE 'update' END AS action FROM n LEFT JOIN o ON o.doc = n.doc AND o.h = n.h AND o.nr = 1 AND n.nr = 1
+         UNION ALL SELECT doc, h, doc_id, NULL, CASE WHEN (doc, h) IN (SELECT (doc, h) FROM n) THEN 'leave' ELSE 'delete' END FROM o
+         WHERE doc IN (SELECT doc FROM n) AND NOT (nr = 1 AND (doc, h) IN (SELECT (doc, h) FROM n))""")
+def chunk_replacement(t):
+    d = t.documents.select((F.col("doc_id") % 50).alias("doc"), tx.content_hash(F.col("text")).alias("h"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("place"))
+    return relational.replace_chunks(d.where("chunk_id % 3 <> 0"), d.where("place % 4 <> 0 AND doc < 40").drop("chunk_id"), "doc", "h", "chunk_id", "place")
+
+
+@plan("""WITH b AS (SELECT doc_id, to_json({'quality': quality, 'toxic': toxic}) AS before FROM labels WHERE doc_id % 11 <> 0),
+         a AS (SELECT doc_id, to_json({'quality': CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE quality END, 'toxic': toxic}) AS after FROM labels WHERE doc_id % 7 <> 0)
+         SELECT doc_id, 'relabel' AS tool, CAST(before AS VARCHAR) AS before, CAST(after AS VARCHAR) AS after, false AS dry_run FROM b FULL JOIN a USING (doc_id) WHERE CAST(before AS VARCHAR) IS DISTINCT FROM CAST(after AS VARCHAR)""")
+def audit_rows(t):
+    c = t.labels.select("doc_id", "quality", "toxic")
+    after = c.where("doc_id % 7 <> 0").withColumn("quality", F.when(F.col("doc_id") % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    return relational.audit(c.where("doc_id % 11 <> 0"), after, ["doc_id"], "relabel")
+
+
 @plan("""WITH s AS (SELECT sha256(d.text) AS h, max(vec_id) AS vec_id FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id GROUP BY 1)
          SELECT d.doc_id, s.vec_id AS reuse_from FROM documents d JOIN s ON s.h = sha256(d.text) WHERE d.doc_id NOT IN (SELECT vec_id FROM embeddings)""")
 def embedding_reuse(t):
