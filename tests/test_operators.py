@@ -309,3 +309,35 @@ def test_chunker_names(spark):
     for row in (("poem", "cdc"), (None, "lines")):
         with pytest.raises(Exception, match="unknown"):
             spark.createDataFrame([row], df.schema).select(pick).collect()
+
+
+def test_lexical_blocks_agree_with_postings_and_brute_force(spark, monkeypatch):
+    import math
+    import random
+
+    from textloom.operators import retrieval as rt
+
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choices(["the", "of", "river", "Stone", "oak", "x9", "ab", "c"], [20, 9, 5, 4, 3, 2, 2, 9], k=rng.randrange(0, 30))) if i else None) for i in range(50)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    asked = [(q, w) for q in range(9) for w in {"the", "oak", ("river", "x9", "nowhere")[q % 3]}]
+    q = spark.createDataFrame(asked, "query_id long, term string")
+    words = {i: [w for w in t.lower().split() if len(w) > 1] for i, t in texts if t is not None}
+    mean = sum(map(len, words.values())) / len(words)
+    df = {w: sum(w in x for x in words.values()) for _, w in asked}
+    want = []
+    for k in range(9):
+        raw = {i: sum(math.log(1 + (50 - df[t] + 0.5) / (df[t] + 0.5)) * x.count(t) * 2.2 / (x.count(t) + 1.2 * (0.25 + 0.75 * len(x) / mean)) for a, t in asked if a == k and t in x) for i, x in words.items()}
+        best = sorted((-round(s / (1 + s), 9), i) for i, s in raw.items() if s > 0)[:5]
+        want += [(k, i, -s, r + 1) for r, (s, i) in enumerate(best)]
+    rows = lambda x: sorted((r.query_id, r.id, r.score, r["rank"]) for r in x.collect())
+    for block, frequent in ((4096, 1024), (2, 1024), (4096, 0), (4, 1)):
+        monkeypatch.setattr(rt, "BLOCK", block)
+        monkeypatch.setattr(rt, "FREQUENT", frequent)
+        assert rows(rt.bm25_texts(q, docs, "doc_id", "text", 5, 9)) == sorted(want)
+    assert rows(rt.bm25(q, rt.postings(docs, "doc_id", "text"), rt.lengths(docs, "doc_id", "text"), 5, 9)) == sorted(want)
+    # rows of one id are one text
+    twice = docs.union(docs.where("doc_id < 5"))
+    got = rows(rt.bm25_texts(q, twice, "doc_id", "text", 5, 9))
+    assert got == rows(rt.bm25(q, rt.postings(twice, "doc_id", "text"), rt.lengths(twice, "doc_id", "text"), 5, 9)) and len({x[:2] for x in got}) == len(got)
+    assert rt.bm25_texts(q.limit(0), docs, "doc_id", "text", 5).collect() == [] and rt.bm25_texts(q, docs.limit(0), "doc_id", "text", 5).collect() == []

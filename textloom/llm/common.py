@@ -11,15 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from textloom.batches import SLICE, slices
 from textloom.storage import materialise
 
 __all__ = ["KEPT", "fresh", "gather", "in_worker", "map_batches", "materialise", "row_key", "slices", "table", "unique_ids", "write_few"]
 
 
-SLICE = 1024  # rows that are Python objects at a time
-SLICE_BYTES = 8 << 20  # and their size; a single longer row is a slice of its own
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,19 +62,6 @@ def write_few(df: DataFrame, name: str) -> DataFrame:
     return materialise(gather(df).coalesce(most), name)
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most `rows` rows and `most` bytes, but for single rows that have more."""
-    for batch in batches:
-        todo = [batch.slice(k, rows) for k in range(0, batch.num_rows, rows)][::-1]
-        while todo:
-            part = todo.pop()
-            if part.num_rows > 1 and part.nbytes > most:
-                half = part.num_rows // 2
-                todo += [part.slice(half), part.slice(0, half)]
-            else:
-                yield part
-
-
 def map_batches(df: DataFrame, start: Callable[[], Callable[[list[list]], list[list]]], schema: str, rows: int = SLICE, keep: str = "") -> DataFrame:
     """Rows through Python in Arrow batches.
 
