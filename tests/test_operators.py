@@ -341,3 +341,46 @@ def test_lexical_blocks_agree_with_postings_and_brute_force(spark, monkeypatch):
     got = rows(rt.bm25_texts(q, twice, "doc_id", "text", 5, 9))
     assert got == rows(rt.bm25(q, rt.postings(twice, "doc_id", "text"), rt.lengths(twice, "doc_id", "text"), 5, 9)) and len({x[:2] for x in got}) == len(got)
     assert rt.bm25_texts(q.limit(0), docs, "doc_id", "text", 5).collect() == [] and rt.bm25_texts(q, docs.limit(0), "doc_id", "text", 5).collect() == []
+
+
+def test_repetition_counts_what_slices_count(spark):
+    import random
+    from collections import Counter
+
+    def slow(t):
+        most = {n: max(Counter(t[k : k + n] for k in range(len(t) - n + 1)).values()) for n in range(3, min(8, len(t)) + 1)}
+        return max(0.0, 1 - max((c * n / len(t) for n, c in most.items() if c > 1), default=0.0))
+
+    rng = random.Random(1)
+    kinds = ["ab", "abc \n", "aé漢字xy", "".join(map(chr, range(300, 900))) + "ab" * 200]
+    texts = ["".join(rng.choices(rng.choice(kinds), k=rng.randrange(60))) * rng.choice([1, 1, 7]) for _ in range(800)]
+    assert [quality.repetition(t) for t in texts] == [slow(t) for t in texts]
+    # every part from one look at the text, as the columns say it
+    rows = [None, "", " \t", "Ünï THE_end! 漢字 " * 9, "!!!!", "ALL CAPS " * 5]
+    x = F.col("t")
+    d = spark.createDataFrame([(t,) for t in rows], "t string").coalesce(1)
+    for r in d.where("length(trim(replace(t, '\t', ' '))) > 0").select(quality.noise_score(x).alias("s"), tx.token_rate(x), tx.punctuation_balance(x), tx.shouting(x)).collect():
+        assert (r.s.token_rate, r.s.punctuation_balance, r.s.shouting_ratio) == tuple(r)[1:]
+    assert [tuple(r.s) for r in d.select(quality.noise_score(x).alias("s")).collect()][:3] == [(0.0,) * 5] * 3
+    assert "regexp" not in d.select(quality.noise_score(x))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_chunkers_hold_few_pieces_at_a_time(spark):
+    import pyarrow as pa
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        where = select
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = chunking.chunk_with(Frame(), "doc_id", "text", chunking.markdown_pieces, "start int, text string, heading string")
+    texts = ["word " * 2000] * 3000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], names=["doc_id", "text"])
+    out = list(run(iter([batch])))
+    assert max(b.nbytes for b in out) < 4 << 20 and {b.schema.field("text").type for b in out} == {pa.string()}
+    got = [(r["doc_id"], r["index"], r["start"], r["text"], r["heading"]) for b in out for r in b.to_pylist()]
+    assert got == [(i, k, *p) for i, t in enumerate(texts) for k, p in enumerate(chunking.markdown_pieces(t))]

@@ -50,20 +50,29 @@ def is_blank(text: Column) -> Column:
 
 def token_rate(text: Column) -> Column:
     """1 while the share of visible characters is in its band, falling off linearly outside."""
+    return in_band(F.length(F.regexp_replace(text, SPACE, "")) / F.length(text))
+
+
+def in_band(r: Column) -> Column:
     low, high = TOKEN_BAND
-    r = F.length(F.regexp_replace(text, SPACE, "")) / F.length(text)
     return F.when(r < low, r / low).when(r > high, F.greatest(F.lit(0.0), 1 - (r - high) / (1 - high))).otherwise(1.0)
 
 
 def punctuation_balance(text: Column) -> Column:
-    d = F.regexp_count(text, F.lit(r"[!-/:-@\[-`{-~]")) / F.length(text)
+    return below_ceiling(F.regexp_count(text, F.lit(r"[!-/:-@\[-`{-~]")) / F.length(text))
+
+
+def below_ceiling(d: Column) -> Column:
     c = PUNCTUATION_CEILING
     return F.when(d <= c, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (d - c) / (1 - c)))
 
 
 def shouting(text: Column) -> Column:
-    letters = F.regexp_count(text, F.lit("[A-Za-z]"))
-    return F.when(letters == 0, 1.0).otherwise(1 - F.regexp_count(text, F.lit("[A-Z]")) / letters)
+    return calm(F.regexp_count(text, F.lit("[A-Za-z]")), F.regexp_count(text, F.lit("[A-Z]")))
+
+
+def calm(letters: Column, capitals: Column) -> Column:
+    return F.when(letters == 0, 1.0).otherwise(1 - capitals / letters)
 
 
 def adequacy(text: Column, has_label: Column, n_metadata: Column) -> Column:
