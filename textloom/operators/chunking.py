@@ -6,11 +6,15 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from textloom.batches import slices
+
+TEXT_BYTES, ROW_BYTES = 2 << 20, 100  # of the texts or pieces that a worker holds at a time; of a piece without its text
 
 def fixed_window(text: Column, size: int = 1500, overlap: int = 200) -> Column:
     """array<struct<index, start, text>> of windows that overlap; the first to reach the end is the last."""
@@ -117,15 +121,29 @@ def code_pieces(text: str, most: int = 1500) -> Iterator[tuple[int, int, str]]:
 
 
 def chunk_with(df: DataFrame, id_col: str, text_col: str, cut: Callable[[str], Iterator[tuple]], fields: str) -> DataFrame:
-    """Rows (id, index, fields...) of a Python chunker, an Arrow batch at a time."""
+    """Rows (id, index, fields...) of a Python chunker; a worker holds a few texts' pieces at a time."""
     schema = T.StructType.fromDDL(f"`{id_col}` long, index int, {fields}")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(i, k, *piece) for i, t in zip(f.iloc[:, 0], f.iloc[:, 1], strict=True) if t for k, piece in enumerate(cut(t))]
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return df.select(F.col(id_col).cast("long"), text_col).where(F.col(text_col).isNotNull()).mapInPandas(run, schema)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=TEXT_BYTES):
+            rows, size = [], 0
+            for i, t in zip(batch.column(0), batch.column(1), strict=True):
+                own, text = i.as_py(), t.as_py()
+                for k, piece in enumerate(cut(text) if text else ()):
+                    rows.append((own, k, *piece))
+                    size += ROW_BYTES + sum(len(x) for x in piece if isinstance(x, str))
+                    if size > TEXT_BYTES:
+                        yield _batch(rows, arrow)
+                        rows, size = [], 0
+            if rows:
+                yield _batch(rows, arrow)
+
+    return df.select(F.col(id_col).cast("long"), text_col).where(F.col(text_col).isNotNull()).mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 # fixed values: the chunker of each content class
