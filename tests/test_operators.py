@@ -397,3 +397,21 @@ def test_metrics_by_label_make_no_pairs(spark):
     for k in (3, 40):
         got = rt.labelled_metrics(ranked, queries, members, k)
         assert rows(got) == rows(rt.metrics(ranked, gold, k)) != []
+
+
+def test_similar_pairs_by_classes_lose_no_pair(spark):
+    import random
+
+    rng = random.Random(2)
+    sets = []
+    for _ in range(40):
+        base = rng.sample(range(60), rng.randrange(1, 40))
+        sets += [base, base, [x for x in base if rng.random() > 0.05], [*base, rng.randrange(60)]]
+    words = [sorted({f"w{x}" for x in s}) for s in sets] + [[], None]
+    df = spark.createDataFrame(list(enumerate(words)), "id long, s array<string>")
+    both = lambda a, b: (len(set(a) & set(b)), len(set(a) | set(b)))
+    want = {(i, j): x / y for i, a in enumerate(words) for j, b in enumerate(words) if i < j and a and b for x, y in [both(a, b)] if 100 * x >= 85 * y}
+    got = graph.similar_pairs(df, "id", "s", 85).collect()
+    assert len(got) == len(want) > 80 and {(r.a, r.b): r.similarity for r in got} == want
+    assert {(r.a, r.b): r.similarity for r in retrieval.shingle_pairs(df, "id", "s", 85).collect()} == want
+    assert graph.similar_pairs(df.limit(0), "id", "s", 85).collect() == []
