@@ -211,6 +211,54 @@ def test_topics_of_many_blocks_are_those_of_one_set(spark, monkeypatch):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def test_topics_move_vectors_in_proportion_to_the_set(spark, monkeypatch):
+    import numpy as np
+
+    from textloom.operators import evaluation as ev
+
+    def shuffled():
+        sc = spark.sparkContext
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    monkeypatch.setattr(ev, "BLOCK", 32)
+    rng, moved = np.random.default_rng(7), []
+    for n in (384, 1536):
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(n, 32)))], "id long, v array<double>")
+        before = shuffled()
+        assert ev.all_topics(df, "id", "v").count() == n
+        moved.append(shuffled() - before)
+    assert moved[1] < 6 * moved[0]  # four times the vectors
+
+
+def test_links_and_nearest_are_those_of_all_pairs(monkeypatch):
+    import numpy as np
+
+    from textloom.operators import evaluation as ev
+
+    rng = np.random.default_rng(11)
+    even, apart = rng.normal(size=(400, 6)), np.vstack([rng.normal(9 * k, 0.3, size=(100, 6)) for k in range(4)])
+    copies = np.vstack([np.zeros((150, 6)), np.ones((90, 6)), rng.normal(size=(160, 6))])
+    for strip, x in ((16, even), (64, apart[rng.permutation(400)]), (16, apart), (64, copies), (256, copies[rng.permutation(400)])):
+        monkeypatch.setattr(ev, "STRIP", strip)
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        core = np.sort(d, axis=1)[:, 5]
+        cuts = [0, 1, 60, 160, 163, 290, 400]
+        for rows, across in ((slice(0, 400), False), (slice(0, 400), True)):
+            best = np.full((400, 6), np.inf)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = np.square(d[rows, a:b])
+                best = ev._nearest(best, part.T if across else part, across)
+            assert np.allclose(np.sqrt(np.sort(best, axis=1)), np.sort(d, axis=1)[:, :6])
+        blocks = [(x[a:b], core[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+        for got, a, b in ((ev._links(blocks), *np.triu_indices(400, 1)), (ev._links(blocks[:3], blocks[3:]), *(k.ravel() for k in np.mgrid[0:160, 160:400]))):
+            every = np.empty(len(a), ev._EDGE)
+            every["w"], every["a"], every["b"] = reach[a, b], a, b
+            assert len(got) == 399 and np.allclose(got["w"], ev._forest(every)["w"], atol=1e-6) and np.allclose(got["w"], reach[got["a"], got["b"]], atol=1e-6)
+    assert len(ev._links([(x[:1], core[:1])])) == 0
+
+
 def test_learned_reranker(spark):
     from textloom.operators import evaluation as ev
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,10 @@ from textloom.storage import materialise
 
 JUDGED = ["faithfulness", "answer_relevance", "context_precision", "context_recall"]
 FEATURES = ["score", "is_lexical", "query_len"]
-BLOCK = 2048  # vectors whose distances to as many others one task holds
+BLOCK = 2048  # vectors that are kept in one row
+STRIP = 256  # vectors whose distances to a block are made at once
+TILES = 8  # parts that the vectors are compared in, at least; each vector is moved once for each
+TILE_BYTES = 64 << 20  # of vectors in a part, as one task holds two
 FAN = 8  # forests that one task merges
 _EDGE = np.dtype([("w", "<f8"), ("a", "<i8"), ("b", "<i8")])
 
@@ -184,16 +188,38 @@ def topics(df: DataFrame, id_col: str, vector: str, by: str, least: int = 5, mos
     return rows.groupBy("by").applyInPandas(run, "by long, id long, topic long").withColumnsRenamed({"by": by, "id": id_col})
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _strips(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Squared distances of x and y by STRIP rows of x: (first row, distances, which the next ones overwrite)."""
     x, y = x.astype(float), y.astype(float)
-    return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T))
-
-
-def _nearest(d: np.ndarray, k: int) -> np.ndarray:
-    """The k smallest of each row, padded with infinity."""
-    if d.shape[1] < k:
-        d = np.hstack([d, np.full((len(d), k - d.shape[1]), np.inf)])
-    return np.partition(d, k - 1, axis=1)[:, :k]
+    xx, yy, x = (x**2).sum(1), (y**2).sum(1), 2 * x
+    room = np.empty((2, min(STRIP, len(x)), len(y)))
+    for at in range(0, len(x), STRIP):
+        d, product = room[:, : len(x) - at]
+        np.add(xx[at : at + STRIP, None], yy[None], out=d)
+        d -= np.matmul(x[at : at + STRIP], y.T, out=product)
+        yield at, np.maximum(d, 0, out=d)
+
+
+def _where(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.divmod(np.flatnonzero(hit), hit.shape[1])
+
+
+def _nearest(best: np.ndarray, d: np.ndarray, across: bool = False) -> np.ndarray:
+    """The k smallest of each row of best and of d, or across of each column of d."""
+    k = best.shape[1]
+    if np.isinf(best).any():
+        head, d = (d[:STRIP].T, d[STRIP:]) if across else (d[:, :STRIP], d[:, STRIP:])
+        best = np.partition(np.hstack([best, head]), k - 1, axis=1)[:, :k]
+    bound = best.max(1)
+    hits = _where(d < (bound[None] if across else bound[:, None])) if d.size else ([], [])
+    if not len(hits[0]):
+        return best
+    rows, owner = np.unique(hits[across], return_inverse=True)
+    owner = np.concatenate([np.repeat(np.arange(len(rows)), k), owner])
+    w = np.concatenate([best[rows].ravel(), d[hits]])
+    order, best = np.lexsort((w, owner)), best.copy()
+    best[rows] = w[order][np.searchsorted(owner[order], np.arange(len(rows)))[:, None] + np.arange(k)]
+    return best
 
 
 def _spanning(reach: np.ndarray, same: bool) -> list[tuple[float, int, int]]:
@@ -229,14 +255,106 @@ def _forest(edges: np.ndarray) -> np.ndarray:
     return edges[keep]
 
 
-def _by_row(step: Callable, schema: str, names: list[str]) -> Callable:
-    """step over the values of one row at a time, each giving rows of names."""
+def _joins(tree: np.ndarray, n: int) -> np.ndarray:
+    """The weight at which each of n nodes gets into the part with more than half of the tree's nodes.
+
+    tree has rising weights.  At the larger weight of two nodes both are in that part, so they are connected.
+    """
+    parent, size, after, last = list(range(n)), [1] * n, [-1] * n, list(range(n))
+    out, half = [np.inf] * n, (len(tree) + 1) / 2
+    for w, a, b in tree.tolist():
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if size[a] + size[b] > half:
+            for k in (k for k in (a, b) if size[k] <= half):
+                while k >= 0:
+                    out[k], k = w, after[k]
+        if size[a] < size[b]:
+            a, b = b, a
+        parent[b], after[last[a]], last[a] = a, b, last[b]
+        size[a] += size[b]
+    return np.array(out)
+
+
+def _links(left: list[tuple], right: list[tuple] | None = None) -> np.ndarray:
+    """Minimum spanning tree of the links between the vectors of two lists of (vectors, core distances), or inside
+    one; the ends are numbered through left, then right.
+
+    A link no shorter than the larger of its ends' weights of joining what is kept closes a cycle as its longest,
+    so only shorter ones are kept; where these are many, as between clusters of a size, the tree of the two blocks is.
+    """
+    blocks = left + (right or [])
+    first = np.cumsum([0, *(len(c) for _, c in blocks)]).tolist()
+    tree, new, join, inside = np.empty(0, _EDGE), [], np.full(first[-1], np.inf), set()
+
+    def keep(w, a, b):
+        new.append(np.empty(len(w), _EDGE))
+        new[-1]["w"], new[-1]["a"], new[-1]["b"] = w, a, b
+
+    for i, j in ((i, j) for i in range(len(left)) for j in range(i if right is None else len(left), len(blocks))):
+        (x, cx), (y, cy) = blocks[i], blocks[j]
+        rows, columns = slice(first[i], first[i + 1]), slice(first[j], first[j + 1])
+
+        def reach(x=x, y=y, cx=cx, cy=cy):
+            out = np.empty((len(x), len(y)))
+            for at, d in _strips(x, y):
+                out[at : at + STRIP] = np.maximum(np.sqrt(d, out=d), cx[at : at + STRIP, None], out=d)
+            return np.maximum(out, cy, out=out)
+
+        def whole(reach, i=i, j=j):
+            keep(*np.array(_spanning(reach, i == j)).reshape(-1, 3).T + [[0], [first[i]], [first[j]]])
+
+        if not inside:
+            whole(reach())
+            tree = _forest(new.pop())
+            join = _joins(tree, first[-1]) if len(tree) else np.where(np.arange(first[-1]) == rows.start, 0, np.inf)
+        else:
+            if fresh := {i, j} - inside:
+                # its vectors join by their shortest links to a block that has
+                (x1, c1, old), (x2, c2, own) = ((x, cx, rows), (y, cy, columns))[:: 1 if fresh == {j} else -1]
+                near, w = np.empty(len(x2), int), np.empty(len(x2))
+                for at, d in _strips(x2, x1):
+                    k = np.maximum(d, np.square(c1), out=d).argmin(1)
+                    near[at : at + STRIP], w[at : at + STRIP] = k, np.maximum(np.sqrt(d[np.arange(len(k)), k]), c2[at : at + STRIP])
+                w = np.maximum(w, c1[near])
+                join[own] = np.maximum(w, join[old][near])
+                keep(w, old.start + near, own.start + np.arange(len(w)))
+            bound, left_over = (join[rows, None], join[None, columns]), 8 * (len(x) + len(y))
+            far = [np.square(v) * (1 + 1e-9) for v in bound]
+            found = []
+            for at, d in _strips(x, y):
+                hit = d < far[0][at : at + STRIP]
+                hit |= d < far[1]
+                a, b = _where(hit)
+                left_over -= len(a)
+                if left_over < 0:
+                    break
+                w = np.maximum(np.sqrt(d[a, b]), np.maximum(cx[at + a], cy[b]))
+                short = w < np.maximum(bound[0][at + a, 0], bound[1][0, b])
+                found.append((w[short], rows.start + at + a[short], columns.start + b[short]))
+            if left_over < 0:
+                whole(reach())
+            else:
+                for links in found:
+                    keep(*links)
+        inside |= {i, j}
+        if sum(map(len, new)) > max(len(tree), 1 << 15):
+            tree, new = _forest(np.concatenate([tree, *new])), []
+            join = _joins(tree, first[-1])
+    return _forest(np.concatenate([tree, *new]))
+
+
+def _packed(kind: str) -> Callable:
+    """Rows of (block, ids, vectors) with the vectors as bytes, one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                rows = list(step(*(c[k].as_py() for c in batch.columns)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(schema)], names=names)
+                row = batch.slice(k, 1)
+                x = row.column(2)[0].values.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes()
+                yield pa.RecordBatch.from_arrays([row.column(0), row.column(1), pa.array([x], pa.binary())], names=["block", "ids", "x"])
 
     return run
 
@@ -244,10 +362,11 @@ def _by_row(step: Callable, schema: str, names: list[str]) -> Callable:
 def all_topics(df: DataFrame, id_col: str, vector: str, least: int = 5) -> DataFrame:
     """(id, topic): density clusters of all vectors as one set, the clusters of density_topics.
 
-    Blocks of vectors meet in pairs: first for the core distances, then for the spanning tree of each
+    Parts of the set meet in pairs: first for the core distances, then for the spanning tree of each
     pair's links, and trees are merged until one is left; a dropped link closes a cycle as its longest,
-    so the last tree spans the whole set.  The work is quadratic.  A merging task and the driver hold
-    three numbers a vector.  A vector that is null or not finite is noise.
+    so the last tree spans the whole set.  The work is quadratic; what is moved is each vector once for each
+    part, whose number does not grow with the set until two parts are more than a task should hold.  A merging
+    task and the driver hold three numbers a vector.  A vector that is null or not finite is noise.
     """
     spark, kind = df.sparkSession, "<f4" if dict(df.dtypes)[vector] == "array<float>" else "<f8"
     v = F.col(vector)
@@ -260,50 +379,64 @@ def all_topics(df: DataFrame, id_col: str, vector: str, least: int = 5) -> DataF
     count, near = -(-n // BLOCK), least + 1
     i64, raw = pa.int64(), pa.binary()
     dealt = src.where("good").groupBy(F.pmod(F.xxhash64("id", "v"), F.lit(count)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    packed = dealt.select("block", "rows.id", "rows.v").mapInArrow(_by_row(lambda b, ids, vs: [(b, ids, np.array(vs, kind).tobytes())], (i64, pa.list_(i64), raw), ["block", "ids", "x"]), "block long, ids array<long>, x binary")
+    packed = dealt.select("block", "rows.id", "rows.v").mapInArrow(_packed(kind), "block long, ids array<long>, x binary")
     blocks = materialise(packed, "topic-blocks")
-    sizes = dict(blocks.select("block", F.size("ids")).collect())
-    start, at = {}, 0
+    kept = blocks.select("block", F.size("ids"), F.length("x")).collect()
+    sizes, start, at = {b: k for b, k, _ in kept}, {}, 0
     for b in sorted(sizes):
         start[b], at = at, at + sizes[b]
 
-    def paired(table: DataFrame) -> DataFrame:
-        pairs = spark.range(count).select(F.col("id").alias("i"), F.explode(F.sequence(F.col("id"), F.lit(count - 1))).alias("j"))
-        names = [c for c in table.columns if c != "block"]
-        for end in "ij":
-            pairs = pairs.join(table.select(F.col("block").alias(end), *[F.col(c).alias(f"{c}{end}") for c in names]), end)
-        pairs = pairs.select("i", "j", *[f"{c}{end}" for end in "ij" for c in names])
-        return pairs.repartition(-(-len(sizes) * (len(sizes) + 1) // 4), "i", "j")
-
-    def distances(i, xi, j, xj):
-        return _distances(np.frombuffer(xi, kind).reshape(sizes[i], -1), np.frombuffer(xj, kind).reshape(sizes[j], -1))
-
-    def closest(i, j, xi, xj):
-        d = distances(i, xi, j, xj)
-        yield i, _nearest(d, near).tobytes()
-        if i != j:
-            yield j, _nearest(d.T, near).tobytes()
+    tiles = min(count, max(TILES, isqrt(6 * spark.sparkContext.defaultParallelism), -(-sum(k for *_, k in kept) // TILE_BYTES)))
+
+    def paired(table: DataFrame):
+        """The blocks of each two tiles, and of each one, as a group; a tile has the blocks of a remainder."""
+        each = table.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other"), F.expr(f"int(block % {tiles})").alias("tile"), *table.columns)
+        pairs = each.select(F.expr(f"least(tile, other) * {tiles} + greatest(tile, other)").alias("pair"), *table.columns)
+        return pairs.repartition(2 * tiles * (tiles + 1), "pair").groupBy("pair")
+
+    def held(table: pa.Table) -> list[tuple]:
+        """(block, vectors, and the core distances if there are any) by rising block."""
+        x = [np.frombuffer(v.as_buffer(), kind).reshape(sizes[b], -1) for b, v in zip(table["block"].to_pylist(), table["x"], strict=True)]
+        more = [[np.frombuffer(v.as_buffer()) for v in table["core"]]] if "core" in table.column_names else []
+        return sorted(zip(table["block"].to_pylist(), x, *more, strict=True), key=lambda row: row[0])
+
+    def closest(table: pa.Table) -> pa.Table:
+        rows, (p, q) = held(table), divmod(table["pair"][0].as_py(), tiles)
+        best = {b: np.full((sizes[b], near), np.inf) for b, _ in rows}
+        for k, (i, x) in enumerate(rows):
+            for j, y in rows[k:]:
+                if p != q and i % tiles == j % tiles:
+                    continue
+                for at, d in _strips(x, y):
+                    best[i][at : at + STRIP] = _nearest(best[i][at : at + STRIP], d)
+                    if i != j:
+                        best[j] = _nearest(best[j], d, across=True)
+        return pa.table({"block": pa.array(list(best), i64), "near": pa.array([v.tobytes() for v in best.values()], raw)})
 
     def core(f: pd.DataFrame) -> pd.DataFrame:
-        best = np.full((sizes[f["block"].iloc[0]], near), np.inf)
-        for d in f["near"]:
-            best = _nearest(np.hstack([best, np.frombuffer(d).reshape(best.shape)]), near)
-        return pd.DataFrame({"block": f["block"].iloc[:1], "core": [best.max(1).tobytes()]})
-
-    def links(i, j, xi, ci, xj, cj):
-        reach = np.maximum(distances(i, xi, j, xj), np.maximum(np.frombuffer(ci)[:, None], np.frombuffer(cj)[None]))
-        edges = np.array([(w, start[i] + a, start[j] + b) for w, a, b in _spanning(reach, i == j)], _EDGE)
-        yield i * count + j, edges.tobytes()
+        found = np.hstack([np.frombuffer(d).reshape(-1, near) for d in f["near"]])
+        return pd.DataFrame({"block": f["block"].iloc[:1], "core": [np.sqrt(np.partition(found, near - 1, axis=1)[:, near - 1]).tobytes()]})
+
+    def links(table: pa.Table) -> pa.Table:
+        rows, pair = held(table), table["pair"][0].as_py()
+        p, q = divmod(pair, tiles)
+        left, right = ([row for row in rows if row[0] % tiles == t] for t in (p, q))
+        edges = np.empty(0, _EDGE)
+        if left and right:
+            edges = _links([row[1:] for row in left], None if p == q else [row[1:] for row in right])
+            number = np.concatenate([start[b] + np.arange(sizes[b]) for b, *_ in (left if p == q else left + right)])
+            ends = np.sort(number[np.stack([edges["a"], edges["b"]])], axis=0)
+            edges["a"], edges["b"] = ends
+        return pa.table({"key": pa.array([pair], i64), "edges": pa.array([edges.tobytes()], raw)})
 
     def merged(f: pd.DataFrame) -> pd.DataFrame:
         edges = _forest(np.concatenate([np.frombuffer(e, _EDGE) for e in f["edges"]]))
         return pd.DataFrame({"key": f["part"].iloc[:1], "edges": [edges.tobytes()]})
 
-    near_rows = paired(blocks.select("block", "x")).mapInArrow(_by_row(closest, (i64, raw), ["block", "near"]), "block long, near binary")
+    near_rows = paired(blocks.select("block", "x")).applyInArrow(closest, "block long, near binary")
     cores = materialise(near_rows.groupBy("block").applyInPandas(core, "block long, core binary"), "topic-cores")
-    held = paired(blocks.select("block", "x").join(cores, "block"))
-    trees = materialise(held.mapInArrow(_by_row(links, (i64, raw), ["key", "edges"]), "key long, edges binary"), "topic-links")
-    parts = count * count
+    trees = materialise(paired(blocks.select("block", "x").join(cores, "block")).applyInArrow(links, "key long, edges binary"), "topic-links")
+    parts = tiles * tiles
     while parts > 1:
         trees = materialise(trees.select(F.expr(f"key div {FAN}").alias("part"), "edges").groupBy("part").applyInPandas(merged, "key long, edges binary"), "topic-trees")
         parts = -(-parts // FAN)
